@@ -1,0 +1,4 @@
+"""Queries by name, each with the SQL that a second engine runs to check it."""
+
+QUERIES: dict = {}
+ORACLES: dict = {}
