@@ -28,7 +28,8 @@ from . import common
 WEIGHTS, SHARE, MOST = (3.0, 1.0, 2.0), 1.5, 2.0
 #: Weight at the beginning and the end of training, by rank of the source, repeating.
 SCHEDULES = ((1.5, 0.5), (1.0, 1.0), (0.5, 1.5))
-BUCKET_ROWS = 20_000
+#: Rows of a bucket, and how many buckets a source has at least.
+BUCKET_ROWS, BUCKETS = 20_000, 64
 
 
 def n_words(text: Column) -> Column:
@@ -82,7 +83,7 @@ def placed(docs: DataFrame, whole_rows: bool) -> DataFrame:
     totals = sized.groupBy("_source").agg(F.sum("_size").alias("source_size"), F.count("*").alias("n"))
     # Buckets by the rows of the largest source, so that one bucket holds some BUCKET_ROWS.
     most = totals.agg(F.max("n")).first()[0] or 1
-    wide = float(2**52 // max(8, -(-most // BUCKET_ROWS)) + 1)
+    wide = float(2**52 // max(BUCKETS, -(-most // BUCKET_ROWS)) + 1)
     bucket = F.floor(F.col("_order") / F.lit(wide)).cast("int")
     sources = totals.select(F.when(F.col("_source") != "", F.substring("_source", 2, 1_000_000)).alias("source"), "source_size")
     targets = source_targets(sources).withColumn("_source", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))).drop("source")
