@@ -87,7 +87,7 @@ def held_out(doc_id) -> F.Column:
 class WordIds(dict):
     """64-bit ids of words, remembered for the words met last."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 80_000):
         super().__init__()
         self.most = most
 

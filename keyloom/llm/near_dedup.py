@@ -10,9 +10,13 @@ one member. Two documents are linked if their sets' Jaccard similarity is `perce
 3. In the first `PIVOT_TREES` trees, each node's members are compared with its least id alone: linear, whatever the
    node's size, and enough to join nearly all of a group of near copies.
 4. What that leaves apart is compared in all trees. A node in which all are in one group already needs nothing.
-   Small nodes (`SMALL` members) compare all pairs of different groups; larger ones branch on, up to `LAST` tokens.
-   Nodes still large then compare every member outside the node's main group with all members: an exact way for the
-   rest, so no pair of different groups that meets in a node is lost, and nothing is capped.
+   Small nodes (`SMALL` members) compare all pairs of different groups. In larger ones, `ROUNDS` times at most, each member is
+   compared with a central one (of a few drawn by hash, the one whose minwise tokens agree most with the others'), which
+   again is linear and joins copies that the least id alone is too far from. Those still mixed branch on, up to `LAST` tokens,
+   unless one group has three quarters of them. What such nodes, and those still large at the end, hold outside their main group
+   is compared with all that they hold, once for all nodes of that group, in blocks of some `BLOCK` sets and without
+   making a row for each pair: an exact way for the rest, so no pair of different groups that meets in a node is
+   lost, and nothing is capped.
 5. A pair is compared by its minwise tokens first (dropped if they agree so little that a similar pair would do so less
    than once in 10^7), then by its sets of shingles in full, from the texts.
 6. Groups come from alternating minimum propagation and pointer jumping over the links, in tables in the shared folder.
@@ -34,7 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -48,6 +52,10 @@ PATHS = np.stack([_rng.permutation(SIZE)[:LAST] for _ in range(TREES)])
 #: A pair of similarity 0.8 agrees in fewer of 128 tokens with a probability below 1e-7.
 AGREE = 77
 BROADCAST_IDS = 2_000_000
+#: Rounds of central members, and how many are drawn in a node to find one.
+ROUNDS, DRAWN = 2, 32
+#: Sets that a task holds while others are compared with them.
+BLOCK = 512
 
 
 def shingles(text: str, k: int, ids: common.WordIds) -> np.ndarray:
@@ -216,24 +224,83 @@ def pivot_pairs(classes: DataFrame) -> DataFrame:
     return at.join(least, "node").where("id > b").select(F.col("id").alias("a"), "b").distinct()
 
 
-def open_pairs(classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different groups that meet in a node of any tree; classes: id, group, tokens."""
-    found, at = [], nodes(classes, TREES, FIRST)
-    for depth in range(FIRST, LAST + 1):
-        size = at.groupBy("node").agg(F.count("*").alias("n"), F.min("group").alias("low"), F.max("group").alias("high")).where("low < high")
-        mixed = common.cut(at.join(size, "node").select("node", "tree", "id", "group", "n"), "mixed")
-        found.append(all_pairs(mixed.where(F.col("n") <= SMALL)))
-        large = mixed.where(F.col("n") > SMALL)
+def still_mixed(rows: DataFrame) -> DataFrame:
+    """node, tree, id, group, n: the rows of nodes that hold more than one group; n: members of the node."""
+    size = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("group").alias("low"), F.max("group").alias("high")).where("low < high")
+    return common.cut(rows.join(size.select("node", "n"), "node").select("node", "tree", "id", "group", "n"), "mixed")
+
+
+def central_pairs(rows: DataFrame, classes: DataFrame, turn: int) -> DataFrame:
+    """Each member of a node with a central member of another group: (a, b), a > b."""
+    schema = pa.schema([("node", pa.int64()), ("pivot", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            pivots = []
+            for m in b.column(1).to_pylist():
+                m.sort(key=lambda x: x["id"])
+                t = np.frombuffer(b"".join(x["tokens"] for x in m), np.uint32).reshape(len(m), SIZE)
+                pivots.append(m[int(np.argmax([(t == x).sum() for x in t]))]["id"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pivots, pa.int64())], schema=schema)
+
+    draw = Window.partitionBy("node").orderBy(F.xxhash64("id", F.lit(turn)), "id")
+    drawn = rows.select("node", "id").withColumn("k", F.row_number().over(draw)).where(F.col("k") <= DRAWN).select("node", "id")
+    drawn = drawn.join(classes.select("id", "tokens"), "id").groupBy("node").agg(F.collect_list(F.struct("id", "tokens")).alias("m"))
+    pivots = common.map_rows(drawn, run, "node long, pivot long")
+    at = rows.select("node", "id", "group").join(pivots, "node")
+    theirs = rows.select("node", F.col("id").alias("pivot"), F.col("group").alias("g"))
+    at = at.join(pivots.join(theirs, ["node", "pivot"]), ["node", "pivot"]).where(F.col("group") != F.col("g"))
+    return at.select(F.greatest("id", "pivot").alias("a"), F.least("id", "pivot").alias("b")).distinct()
+
+
+def open_links(classes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) between different groups that meet in a node of any tree; classes: id, group, tokens, n_shingles."""
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        return common.cut(confirmed(alike(pairs, classes, percent), texts, k, percent), "links")
+
+    found, pairs, rest, at = [], [], [], nodes(classes, TREES, FIRST)
+    for depth in range(FIRST, LAST + 1, 2):
+        mixed = still_mixed(at)
+        pairs.append(all_pairs(mixed.where(F.col("n") <= SMALL)))
+        large = mixed.where(F.col("n") > SMALL).select("node", "tree", "id", "group")
+        for turn in range(ROUNDS if depth == FIRST else 0):
+            if not large.limit(1).count():
+                break
+            links = linked(central_pairs(large, classes, turn))
+            if not links.limit(1).count():
+                break
+            found.append(links)
+            of = classes.select("id", "group")
+            ends = links.join(of.select(F.col("id").alias("a"), F.col("group").alias("x")), "a").join(of.select(F.col("id").alias("b"), F.col("group").alias("y")), "b")
+            ends = ends.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).where("a > b")
+            # Groups that links join, each with its new least id: few, beside the rows of nodes.
+            merged = components(ends).select(F.col("id").alias("group"), F.col("group").alias("joined"))
+            classes = common.cut(classes.join(merged, "group", "left").withColumn("group", F.coalesce("joined", "group")).drop("joined"), "grouped")
+            large = still_mixed(large.join(merged, "group", "left").withColumn("group", F.coalesce("joined", "group"))).select("node", "tree", "id", "group")
         if not large.limit(1).count():
             break
+        main = main_groups(large)
         if depth == LAST:
-            found.append(rest_pairs(large))
+            rest.append(large.join(main.select("node", "main"), "node"))
         else:
-            at = deeper(large, classes, depth + 1)
-    out = found[0]
-    for x in found[1:]:
+            rest.append(large.join(main.where("4 * m >= 3 * n").select("node", "main"), "node"))
+            at = deeper(large.join(main.where("4 * m < 3 * n").select("node"), "node", "left_semi"), classes, depth + 2)
+    out = pairs[0]
+    for x in pairs[1:]:
+        out = out.union(x)
+    out = out.distinct()
+    if rest:
+        more = rest[0]
+        for x in rest[1:]:
+            more = more.union(x)
+        out = alike(out, classes, percent).union(rest_pairs(more, texts, k, percent)).distinct()
+        out = common.cut(confirmed(out, texts, k, percent), "links")
+    else:
+        out = linked(out)
+    for x in found:
         out = out.union(x)
-    return out.distinct()
+    return out
 
 
 def all_pairs(rows: DataFrame) -> DataFrame:
@@ -243,13 +310,82 @@ def all_pairs(rows: DataFrame) -> DataFrame:
     return members.select(F.explode(pairs).alias("p")).select("p.a", "p.b")
 
 
-def rest_pairs(rows: DataFrame) -> DataFrame:
-    """Members outside their large node's main group, with all members of other groups."""
+def main_groups(rows: DataFrame) -> DataFrame:
+    """node, main (the group with most of its members), m (so many), n (all)."""
     sizes = rows.groupBy("node", "group").agg(F.count("*").alias("m"))
-    main = sizes.groupBy("node").agg(F.max_by("group", F.struct("m", "group")).alias("main"))
-    apart = rows.select("node", "id", "group").join(main, "node").where(F.col("group") != F.col("main")).select("node", F.col("id").alias("i"), F.col("group").alias("g"))
-    both = rows.select("node", "id", "group").join(apart, "node").where(F.col("group") != F.col("g"))
-    return both.select(F.greatest("id", "i").alias("a"), F.least("id", "i").alias("b"))
+    return sizes.groupBy("node").agg(F.max_by("group", F.struct("m", "group")).alias("main"), F.max("m").alias("m"), F.sum("m").alias("n"))
+
+
+class Held:
+    """Sets of hashes by what they hold: counts what each shares with another set."""
+
+    def __init__(self, ids: list[int], sets: list[np.ndarray]):
+        self.ids, self.sizes = np.array(ids, np.int64), np.array([len(x) for x in sets], np.int64)
+        of = np.repeat(np.arange(len(sets)), self.sizes)
+        h = np.concatenate(sets) if sets else np.empty(0, np.uint64)
+        order = np.argsort(h, kind="stable")
+        self.of = of[order]
+        self.keys, first = np.unique(h[order], return_index=True)
+        self.ends = np.append(first, len(h))
+
+    def like(self, s: np.ndarray, percent: int) -> np.ndarray:
+        """Ids of the sets that are similar enough to s."""
+        if not len(self.keys) or not len(s):
+            return self.ids[:0]
+        at = np.minimum(np.searchsorted(self.keys, s), len(self.keys) - 1)
+        at = at[self.keys[at] == s]
+        shared = np.zeros(len(self.ids), np.int64)
+        for a, b in zip(self.ends[at].tolist(), self.ends[at + 1].tolist(), strict=True):
+            shared[self.of[a:b]] += 1  # a set holds a hash once
+        return self.ids[(shared > 0) & (100 * shared >= percent * (self.sizes + len(s) - shared))]
+
+
+def rest_pairs(rows: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Similar pairs (a, b) by hashes of shingles; rows: id, group, main of large nodes.
+
+    What isn't of a node's main group is compared with all in nodes of that main group. The latter are dealt out in blocks
+    of some BLOCK sets, and each of the former visits each block.
+    """
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    hashed = pa.schema([("id", pa.int64()), ("set", pa.binary())])
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = common.WordIds()
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t.as_py(), k, ids).tobytes() for t in b.column(1)], pa.binary())], schema=hashed)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, ids, own, held = None, [], [], None
+        for b in batches:
+            x, y = [], []
+            for main, block, visits, i, raw in zip(*(b.column(j).to_pylist() for j in range(4)), b.column(4), strict=True):
+                if at != (main, block):
+                    at, ids, own, held = (main, block), [], [], None
+                s = np.frombuffer(raw.as_buffer(), np.uint64)
+                if not visits:
+                    ids.append(i)
+                    own.append(s.copy())
+                    continue
+                if held is None:
+                    held, own = Held(ids, own), []
+                near = held.like(s, percent)
+                near = near[near != i]
+                x += np.maximum(near, i).tolist()
+                y += np.minimum(near, i).tolist()
+            yield common.batch(schema, [x, y])
+
+    each = common.cut(rows.groupBy("main", "id").agg(F.max(F.col("group") != F.col("main")).alias("apart")), "rest")
+    blocks = each.groupBy("main").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    each = each.join(blocks, "main")
+    stay = each.select("main", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("visits"), "id")
+    visit = each.where("apart").select("main", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("visits"), "id")
+    wanted = common.cut(each.select("id").distinct(), "wanted")
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+    known = common.cut(common.map_rows(texts.join(wanted, "id", "left_semi").select("id", "text").dropDuplicates(["id"]), sets, "id long, set binary"), "sets")
+    dealt = stay.union(visit).join(known, "id").select("main", "block", "visits", "id", "set")
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt.repartition(n, "main", "block").sortWithinPartitions("main", "block", "visits", "id")
+    return common.map_rows(dealt, run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -268,7 +404,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     group = components(first)
     now = classes.join(group, "id", "left").select("id", F.coalesce("group", "id").alias("group"), "tokens", "n_shingles")
     now = common.cut(now, "grouped")
-    second = common.cut(confirmed(alike(open_pairs(now), classes, percent), texts, k, percent), "links")
+    second = open_links(now, texts, k, percent)
     if second.limit(1).count():
         group = components(first.union(second))
     of = member.groupBy("doc_id").agg(F.min("id").alias("id")).join(group, "id", "left").select("doc_id", F.coalesce("group", "id").alias("component_id"))
