@@ -9,11 +9,12 @@ one member. Two documents are linked if their sets' Jaccard similarity is `perce
    there.
 3. In the first `PIVOT_TREES` trees, each node's members are compared with its least id alone: linear, whatever the
    node's size, and enough to join nearly all of a group of near copies.
-4. What that leaves apart is compared in all trees. A node in which all are in one group already needs nothing.
-   Small nodes (`SMALL` members) compare all pairs of different groups. In larger ones, `ROUNDS` times at most, each member is
+   In those with more than `SMALL` members that still hold several groups, `ROUNDS` times at most, each member is then
    compared with a central one (of a few drawn by hash, the one whose minwise tokens agree most with the others'), which
-   again is linear and joins copies that the least id alone is too far from. Those still mixed branch on, up to `LAST` tokens,
-   unless one group has three quarters of them. What such nodes, and those still large at the end, hold outside their main group
+   again is linear and joins copies that the least id alone is too far from.
+4. What that leaves apart is compared in all trees. A node in which all are in one group already needs nothing.
+   Small nodes compare all pairs of different groups. Larger ones branch on, up to `LAST` tokens, unless one group has
+   three quarters of them. What such nodes, and those still large at the end, hold outside their main group
    is compared with all that they hold, once for all nodes of that group, in blocks of some `BLOCK` sets and without
    making a row for each pair: an exact way for the rest, so no pair of different groups that meets in a node is
    lost, and nothing is capped.
@@ -259,25 +260,28 @@ def open_links(classes: DataFrame, texts: DataFrame, k: int, percent: int) -> Da
     def linked(pairs: DataFrame) -> DataFrame:
         return common.cut(confirmed(alike(pairs, classes, percent), texts, k, percent), "links")
 
-    found, pairs, rest, at = [], [], [], nodes(classes, TREES, FIRST)
+    found, at = [], nodes(classes, PIVOT_TREES, FIRST)
+    for turn in range(ROUNDS):
+        large = still_mixed(at).where(F.col("n") > SMALL)
+        if not large.limit(1).count():
+            break
+        links = linked(central_pairs(large, classes, turn))
+        if not links.limit(1).count():
+            break
+        found.append(links)
+        of = classes.select("id", "group")
+        ends = links.join(of.select(F.col("id").alias("a"), F.col("group").alias("x")), "a").join(of.select(F.col("id").alias("b"), F.col("group").alias("y")), "b")
+        ends = ends.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).where("a > b")
+        # Groups that links join, each with its new least id: few, beside the rows of nodes.
+        merged = components(ends).select(F.col("id").alias("group"), F.col("group").alias("joined"))
+        classes = common.cut(classes.join(merged, "group", "left").withColumn("group", F.coalesce("joined", "group")).drop("joined"), "grouped")
+        at = large.join(merged, "group", "left").select("node", "tree", "id", F.coalesce("joined", "group").alias("group"))
+
+    pairs, rest, at = [], [], nodes(classes, TREES, FIRST)
     for depth in range(FIRST, LAST + 1, 2):
         mixed = still_mixed(at)
         pairs.append(all_pairs(mixed.where(F.col("n") <= SMALL)))
         large = mixed.where(F.col("n") > SMALL).select("node", "tree", "id", "group")
-        for turn in range(ROUNDS if depth == FIRST else 0):
-            if not large.limit(1).count():
-                break
-            links = linked(central_pairs(large, classes, turn))
-            if not links.limit(1).count():
-                break
-            found.append(links)
-            of = classes.select("id", "group")
-            ends = links.join(of.select(F.col("id").alias("a"), F.col("group").alias("x")), "a").join(of.select(F.col("id").alias("b"), F.col("group").alias("y")), "b")
-            ends = ends.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).where("a > b")
-            # Groups that links join, each with its new least id: few, beside the rows of nodes.
-            merged = components(ends).select(F.col("id").alias("group"), F.col("group").alias("joined"))
-            classes = common.cut(classes.join(merged, "group", "left").withColumn("group", F.coalesce("joined", "group")).drop("joined"), "grouped")
-            large = still_mixed(large.join(merged, "group", "left").withColumn("group", F.coalesce("joined", "group"))).select("node", "tree", "id", "group")
         if not large.limit(1).count():
             break
         main = main_groups(large)
