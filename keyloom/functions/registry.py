@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from keyloom.operators.geo import WGS84, haversine
 
@@ -51,7 +52,7 @@ def _vincenty(lon1: np.ndarray, lat1: np.ndarray, lon2: np.ndarray, lat2: np.nda
     return np.where(ss == 0, 0.0, np.where(done, out, np.nan))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _vincenty_udf(lon1: pd.Series, lat1: pd.Series, lon2: pd.Series, lat2: pd.Series) -> pd.Series:
     return pd.Series(_vincenty(*(x.to_numpy(float) for x in (lon1, lat1, lon2, lat2))))
 
@@ -69,7 +70,7 @@ def _crc_table() -> np.ndarray:
     return t
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def _crc16(raw: pd.Series) -> pd.Series:
     table = _crc_table()
     lists = [np.frombuffer(x or b"", np.uint8) for x in raw]
@@ -110,7 +111,7 @@ class Registry:
         return F.call_function(name, *args)
 
 
-@F.udtf(returnType="geohash string")
+@F.udtf(returnType=T.StructType([T.StructField("geohash", T.StringType())]))
 class GeohashChildren:
     """The 32 cells within a geohash, as a table function."""
 
