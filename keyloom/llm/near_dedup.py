@@ -424,7 +424,8 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     per = found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("n"), F.min("component_id").alias("component_id"))
     per = common.cut(per.where((F.col("n") > 1) | (F.col("doc_id") != F.col("component_id"))).select(F.col("doc_id").alias("_id"), (F.col("doc_id") == F.col("component_id")).alias("_stays")), "decided")
     few = F.broadcast if per.count() <= BROADCAST_IDS else lambda x: x
-    single = docs.join(few(per.select("_id")), F.col("doc_id") == F.col("_id"), "left_anti")
+    gone = per.select("_id")
+    single = docs.join(few(gone), docs["doc_id"] == gone["_id"], "left_anti")  # docs may have an _id of its own
     repeated = docs.select(F.struct("*").alias("doc")).join(few(per.where("_stays").select("_id")), F.col("doc.doc_id") == F.col("_id"), "left_semi")
     order = F.struct(F.coalesce(F.col("doc.text"), F.lit("")))
     return single.unionByName(repeated.groupBy("doc.doc_id").agg(F.min_by("doc", order).alias("doc")).select("doc.*"))

@@ -1,0 +1,181 @@
+"""Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing column names, for each operator and stage."""
+
+import hashlib
+
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+import corpus_pipeline
+from keyloom.llm import bpe, chat, common, fingerprint, licenses, mixing, near_dedup, quality_gam, quality_rules, queries, secrets, toxicity
+
+from .test_queries import SF, groups
+
+LONG = ("one two three four five six seven eight nine ten. " * 20 + "\n") * 60
+ROWS = [
+    (1, "A text of a few words.", "en", "web", 22), (2, None, None, None, None), (3, "", "en", "web", 0), (4, LONG, "en", "books", len(LONG)), (4, LONG, "en", "books", len(LONG)),
+    (None, "without an id", "en", "web", 13), (5, " \t\n ", "de", "", 4), (6, "\U0001f600 naïve – 漢字 \u0000 x", "fr", "web", 15), (7, "A text of a few words.", "en", "web", 22), (None, None, None, None, None),
+]
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+CLASHING = ["score", "size", "_size", "_source", "_bucket", "doc", "group", "id", "node", "label", "value", "c", "f", "p", "new", "at", "pass", "place", "start", "words", "_id"]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    df = spark.createDataFrame(ROWS, SCHEMA).repartition(3)
+    return df.select("*", *(F.lit(f"kept {c}").alias(c) for c in CLASHING))
+
+
+@pytest.fixture(scope="module")
+def nothing(docs):
+    return docs.where("false")
+
+
+def labels(spark, rows=()):
+    return spark.createDataFrame(list(rows), "doc_id long, quality int, toxic int")
+
+
+MAPS = {
+    "toxicity": lambda d: toxicity.score_documents(d, toxicity.Model()), "quality": lambda d: quality_gam.score_documents(d, quality_gam.Model()), "mixing": mixing.mix,
+    "bpe": lambda d: bpe.encode_documents(d, queries.vocabulary(), leaf_chars=64), "fingerprints": fingerprint.fingerprints, "licenses": licenses.scan, "rules": quality_rules.clean_documents, "near_dedup": near_dedup.near_duplicates,
+}
+
+
+@pytest.mark.parametrize("name", sorted(MAPS))
+def test_a_row_for_each_row(docs, nothing, name):
+    out = MAPS[name](docs).select("doc_id").collect()
+    assert sorted(str(r.doc_id) for r in out) == sorted(str(r[0]) for r in ROWS)
+    assert MAPS[name](nothing).count() == 0
+
+
+def test_training_without_labels(spark, docs, nothing):
+    for d in (docs, nothing):
+        for rows in ((), [(1, None, None), (None, 1, 1)], [(1, 1, 1), (1, 0, 0)]):
+            assert toxicity.score_documents(d, toxicity.train(d, labels(spark, rows))).count() == d.count()
+            assert quality_gam.score_documents(d, quality_gam.train(d, labels(spark, rows))).count() == d.count()
+    empty = toxicity.score_documents(docs, toxicity.Model()).where("doc_id in (2, 3)").select("score").distinct().collect()
+    assert len(empty) == 1 and empty[0].score < 0.5
+
+
+def test_toxicity_grammar():
+    m = toxicity.Model()
+    score = lambda t: m.score(toxicity.clauses(t, m.lexicon()))
+    plain, aimed = score("idiot"), score("you are an idiot")
+    assert aimed > plain > score("a calm word") == score("")
+    assert score("you are not an idiot") < aimed and score("he said you are an idiot") < aimed
+    assert score("i will kill you") > score("i will kill time")
+
+
+def test_bpe_joins_equal_the_whole():
+    c = bpe.codec(queries.vocabulary())
+    t = Tokenizer.from_file(queries.vocabulary())
+    for text in ("a" * 5000, "x1" * 2000, LONG[:9000], "abc'll don't " * 300, "ünï" * 900, "7" * 3001, "word" * 900 + "<|endoftext|>" + "word" * 900, " " * 2000, "aAbB9" * 500 + "\n\n" * 99):
+        leaves = bpe.split_tree(text, c.special, 128)
+        assert "".join(x for x, _, _ in leaves) == text
+        ids = bpe.join_tree(c, [(c.encode(x), d, s) for x, d, s in leaves])
+        assert ids == t.encode(text, add_special_tokens=False).ids
+
+
+def test_prefix_hashes():
+    a, b = (fingerprint.PrefixHash(fingerprint.code_points(x)) for x in ("abcabcabd", "xxabcabd"))
+    assert a.span(0, 3) == a.span(3, 6) == b.span(2, 5) != a.span(6, 9)
+    assert a.common_prefix(b, 3, 2) == 6 and a.common_prefix(a, 0, 3) == 5 and a.common_prefix(b) == 0
+
+
+def test_near_dedup_keeps_one_and_all_columns(docs):
+    out = near_dedup.one_of_each(docs)
+    assert out.columns == docs.columns
+    want, _ = groups({r[0]: r[1] for r in ROWS if r[0] is not None}, 5, 80)
+    ids = [r.doc_id for r in out.select("doc_id").collect()]
+    assert sorted(i for i in ids if i is not None) == sorted(i for i, g in want.items() if i == g) and ids.count(None) == 2
+
+
+def test_secrets(spark, docs, nothing):
+    key = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"
+    rows = [(1, f'set token = "{key}" here', "kept"), (2, "sha256: " + hashlib.sha256(b"x").hexdigest(), "kept"), (3, f'{key[:0]}API_KEY="{key}" and again API_KEY="{key}"', "kept"), (4, None, "kept"), (5, "see https://example.com/assets/banner-button-icon-42", "kept")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, probability string")
+    found = secrets.findings(df).collect()
+    assert sorted(r.doc_id for r in found) == [1, 3, 3]
+    for r in found:
+        assert rows[r.doc_id - 1][1][r.start : r.start + r.length] == key and r.value_sha256 == hashlib.sha256(key.encode()).hexdigest()
+    clean = {r.doc_id: r for r in secrets.redact(df).collect()}
+    assert len(clean) == 5 and key not in clean[1].text + clean[3].text and clean[4].text is None
+    assert clean[2].text == rows[1][1] and clean[5].text == rows[4][1] and clean[1].probability == "kept"
+    assert secrets.findings(nothing).count() == 0
+    same = lambda rows: sorted(map(str, rows))
+    assert same(secrets.redact(docs).collect()) == same(docs.collect())
+
+
+def test_secrets_plan_is_native(docs):
+    for df in (secrets.findings(docs), secrets.redact(docs), mixing.mix(docs), mixing.mix_documents(docs)):
+        assert not any(x in df._jdf.queryExecution().executedPlan().toString() for x in ("Python", "Arrow", "Pandas"))
+
+
+def test_mixing_targets(spark):
+    rows = [(i, " ".join(["w"] * (i % 7 + 1)), "abc"[min(i % 9, 2)]) for i in range(900)] + [(None, "x y", None), (-1, None, "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.mix(df).collect()
+    assert len(out) == len(rows) and all(0 <= r.taken <= 2 * r.size for r in out)
+    per = {}
+    for r in out:
+        t = per.setdefault(r.source_size, [r.target, 0])
+        t[1] += r.taken
+    assert all(abs(t - got) <= 1 and t <= 2 * s + 1e-9 for s, (t, got) in per.items())
+    assert abs(sum(t for t, _ in per.values()) - 1.5 * sum(r.size for r in out)) < 1e-6
+    assert sorted(map(str, mixing.mix(df.repartition(5)).collect())) == sorted(map(str, out))
+
+
+def log(spark, rows):
+    return spark.createDataFrame(rows, "conv_id long, message_id long, seq long, kind string, role string, text string")
+
+
+def test_chat_events(spark):
+    rows = [
+        (1, 1, 1, "start", "user", None), (1, 1, 3, "delta", None, "lo"), (1, 1, 2, "delta", None, "Hel"), (1, 2, 4, "start", "assistant", ""), (1, 2, 5, "delta", None, "wrong"), (1, 2, 6, "regenerate", None, None),
+        (1, 2, 7, "delta", None, "right <|im_end|>"), (1, 1, 8, "edit", None, "Hi"), (1, 3, 9, "message", "user", "x"), (1, 4, 10, "start", "user", "gone"), (1, 4, 11, "delete", None, None), (None, 1, 1, "message", None, None),
+    ]
+    final = {(r.conv_id, r.seq, r.role, r.text) for r in chat.fold(log(spark, rows)).collect()}
+    assert final == {(1, 1, "user", "Hi"), (1, 4, "assistant", "right <|im_end|>"), (1, 9, "user", "x"), (None, 1, "", "")}
+    out = {r.conv_id: r for r in chat.digests(chat.render(chat.fold(log(spark, rows)), block_chars=10)).collect()}
+    assert out[1].n_turns == 3 and out[1].loss_chars == len("right <|im_end|>") and out[None].n_turns == 1
+    assert out[1].turns_sha256 == hashlib.sha256(b"user\nHi\nassistant\nright <|im_end|>\nuser\nx\n").hexdigest()
+    assert chat.digests(chat.render(chat.fold(log(spark, [])))).count() == 0
+
+
+@pytest.mark.parametrize("text", ["", "<|im_end|>", "<\\|x", "<\\\\|im_start|>\n", "<|" * 9, "a<b|c", "\\n"])
+def test_chat_round_trip(text):
+    assert chat.read_turns(chat.render_turn(text, text) + chat.render_turn("assistant", text)) == [(text, text), ("assistant", text)]
+
+
+def test_pipeline_stages(spark, docs):
+    """Each stage keeps what it should of the rows before it; all but the last keep the columns."""
+    at = docs
+    for name, stage in corpus_pipeline.STAGES:
+        before, out = at, common.cut(stage(spark, at, SF), f"test-{name}")
+        if name != "bpe":
+            assert out.columns == docs.columns
+        if name == "secrets":
+            assert out.count() == before.count()
+        at = out
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_dedup", "secrets", "mixing", "bpe"]
+    assert {r.doc_id for r in at.select("doc_id").collect()} <= {r[0] for r in ROWS}
+    empty = docs.where("false")
+    for _, stage in corpus_pipeline.STAGES:
+        empty = common.cut(stage(spark, empty, SF), "test-empty")
+    assert empty.count() == 0
+
+
+def test_pipeline_is_its_stages_by_brute_force(spark):
+    """On the smallest table: what run() returns is what the operators say one by one, the last against the tokenizers library."""
+    docs = common.table(spark, SF, "documents")
+    model = toxicity.train(docs, common.table(spark, SF, "labels"))
+    bad = {r.doc_id for r in toxicity.score_documents(docs, model).where("score >= 0.5").collect()}
+    texts = {r.doc_id: r.text or "" for r in docs.collect() if r.doc_id not in bad}
+    want, _ = groups(texts, 5, 80)
+    kept = {i: t for i, t in texts.items() if want[i] == i}
+    clean = secrets.redact(docs.where(F.col("doc_id").isin(*kept)))
+    redacted = {r.doc_id: r.text or "" for r in clean.collect()}
+    times = {r["doc_id"]: int(r["taken"] / r["size"] + 0.5) if r["size"] else 0 for r in mixing.mix(clean).collect()}
+    t = Tokenizer.from_file(queries.vocabulary())
+    expected = sorted((i, n) for i, text in redacted.items() for n in [len(t.encode(text, add_special_tokens=False).ids)] for _ in range(times[i]))
+    assert sorted((r.doc_id, r.n_tokens) for r in corpus_pipeline.run(spark, SF).collect()) == expected
