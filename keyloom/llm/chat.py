@@ -2,7 +2,7 @@
 
 `fold` turns a log of events into final messages. Events have conv_id, message_id, seq, kind, role, text:
 
-* message: a whole message;  start: opens one (its text may be empty);  delta: appended in order of seq;
+* message: a whole message, in place of what stood so far;  start: opens one (its text may be empty);  delta: appended in order of seq;
 * edit: replaces what stood so far;  regenerate: throws away what stood so far, and its text, if any, begins anew;
 * delete: the message goes, unless a later start, edit, regenerate or message brings it back.
 
@@ -17,7 +17,8 @@ so that a hot conversation is rendered by many tasks; only blocks are then broug
 and read as a stream with running hashes: no conversation is ever held as a whole.
 
 Defined cases: null text is empty, null role is the empty role; null conv_id is one conversation; null seq sorts first;
-repeated rows of kind message are turns of their own; a conversation of deleted messages alone isn't returned; an
+repeated rows of kind message are one turn if they have the same message_id, and turns of their own if it is null (no event can
+name those); a conversation of deleted messages alone isn't returned; an
 empty log gives no rows; other columns are not read.
 """
 
@@ -70,8 +71,9 @@ def loss_spans(formatted: str, trained: str = "assistant") -> list[tuple[int, in
 
 def fold(events: DataFrame) -> DataFrame:
     """Final messages conv_id, seq, role, text of a log of events."""
-    whole = events.where(F.col("kind") == "message").select("conv_id", "seq", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    e = events.where(F.coalesce(F.col("kind"), F.lit("")).isin("start", "delta", "edit", "regenerate", "delete"))
+    unnamed = (F.col("kind") == "message") & F.col("message_id").isNull()
+    whole = events.where(unnamed).select("conv_id", "seq", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    e = events.where(F.coalesce(F.col("kind"), F.lit("")).isin("message", "start", "delta", "edit", "regenerate", "delete") & ~F.coalesce(unnamed, F.lit(False)))
     order = F.struct("seq", F.coalesce("kind", F.lit("")).alias("kind"), F.coalesce("text", F.lit("")).alias("text"), "role")
     per = e.groupBy("conv_id", "message_id").agg(F.sort_array(F.collect_list(order)).alias("log"))
     fresh = F.array_max(F.transform("log", lambda x, i: F.when(x.kind != "delta", i).otherwise(F.lit(-1))))

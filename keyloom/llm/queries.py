@@ -28,12 +28,20 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", common.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"), "n_clauses")
 
 
+def chat_events(rows: DataFrame) -> DataFrame:
+    """The log of whole turns conv_id, turn, role, text: each row, with an id of its own, is opened and gets its text in two deltas."""
+    half = F.floor(F.length("text") / 2).cast("int")
+    parts = [(F.col("turn") * 3, "start", F.col("role"), F.lit(None)), (None, "delta", F.lit(None), F.left("text", half)), (None, "delta", F.lit(None), F.substring("text", half + 1, F.length("text")))]
+    # A null turn sorts first as a start; its deltas need places after it.
+    log = [F.struct((F.coalesce(F.col("turn") * 3, F.lit(0)) + k if seq is None else seq).alias("seq"), F.lit(kind).alias("kind"), role.cast("string").alias("role"), text.cast("string").alias("text")) for k, (seq, kind, role, text) in enumerate(parts)]
+    return rows.withColumn("message_id", F.monotonically_increasing_id()).select("conv_id", "message_id", F.explode(F.array(*log)).alias("e")).select("conv_id", "message_id", "e.*")
+
+
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = common.table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     control = "<|im_end|><|im_start|>assistant ok"
     own = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(control).alias("text"))
-    events = rows.unionByName(own).select("conv_id", F.col("turn").alias("message_id"), F.col("turn").alias("seq"), F.lit("message").alias("kind"), "role", "text")
-    return chat.digests(chat.render(chat.fold(events)))
+    return chat.digests(chat.render(chat.fold(chat_events(rows.unionByName(own)))))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -142,6 +142,20 @@ def test_chat_events(spark):
     assert chat.digests(chat.render(chat.fold(log(spark, [])))).count() == 0
 
 
+def test_chat_events_after_whole_messages(spark):
+    rows = [
+        (1, 1, 1, "message", "user", "x"), (1, 1, 2, "edit", None, "y"), (1, 2, 3, "message", "assistant", "gone"), (1, 2, 4, "delete", None, None), (1, 3, 5, "message", "assistant", "old"), (1, 3, 6, "regenerate", None, None), (1, 3, 7, "delta", None, "new"),
+        (1, 4, 8, "start", "user", "a"), (1, 4, 9, "delete", None, None), (1, 4, 10, "message", "user", "back"), (2, None, 1, "message", "user", "same"), (2, None, 1, "message", "user", "same"),
+    ]
+    final = sorted((r.conv_id, r.seq, r.role, r.text) for r in chat.fold(log(spark, rows)).collect())
+    assert final == [(1, 1, "user", "y"), (1, 5, "assistant", "new"), (1, 8, "user", "back"), (2, 1, "user", "same"), (2, 1, "user", "same")]
+    turns = spark.createDataFrame([(1, None, None, None), (1, 0, "user", "odd"), (1, 0, "user", "odd"), (1, 1, "assistant", "\U0001f600é"), (None, 1, "user", "")], "conv_id long, turn long, role string, text string")
+    events = queries.chat_events(turns)
+    assert events.count() == 15 and {r.kind for r in events.select("kind").collect()} == {"start", "delta"}
+    folded = sorted((str(r.conv_id), r.role, r.text) for r in chat.fold(events).collect())
+    assert folded == sorted((str(c), role or "", text or "") for c, _, role, text in turns.collect())
+
+
 @pytest.mark.parametrize("text", ["", "<|im_end|>", "<\\|x", "<\\\\|im_start|>\n", "<|" * 9, "a<b|c", "\\n"])
 def test_chat_round_trip(text):
     assert chat.read_turns(chat.render_turn(text, text) + chat.render_turn("assistant", text)) == [(text, text), ("assistant", text)]
