@@ -4,26 +4,27 @@ A document's set is its distinct shingles of k words (A-Z lower-cased); with few
 one member. Two documents are linked if their sets' Jaccard similarity is `percent` or more; a group is what links connect.
 
 1. Each set gets `SIZE` minwise tokens and a digest. Documents with the same set are one class (exact copies).
-2. `TREES` independent trees branch documents by selected minwise tokens: a node is reached by agreeing in one token
-   after another, the tokens of each step chosen by the tree. Branching begins `FIRST` tokens deep. Nodes of one class end
-   there.
+2. `TREES` trees branch documents by selected minwise tokens: a node is reached by agreeing in one token after another,
+   the tokens of each step chosen by the tree. Branching begins `FIRST` tokens deep. Nodes of one class end there.
 3. In the first `PIVOT_TREES` trees, each node's members are compared with its least id alone: linear, whatever the
    node's size, and enough to join nearly all of a group of near copies.
    In those with more than `SMALL` members that still hold several groups, `ROUNDS` times at most, each member is then
    compared with a central one (of a few drawn by hash, the one whose minwise tokens agree most with the others'), which
    again is linear and joins copies that the least id alone is too far from.
 4. What that leaves apart is compared in all trees. A node in which all are in one group already needs nothing.
-   Small nodes compare all pairs of different groups. Larger ones branch on, up to `LAST` tokens, unless one group has
-   three quarters of them. What such nodes, and those still large at the end, hold outside their main group
+   Small nodes compare all pairs of different groups. The members of larger ones, unless one group has three quarters of
+   them, go on to deeper trees, up to `LAST` tokens, which are more (`LEVELS`) as a pair meets less often there.
+   What nodes with such a group, and those still large at the end, hold outside their main group
    is compared with all that they hold, once for all nodes of that group, in blocks of some `BLOCK` sets and without
-   making a row for each pair: an exact way for the rest, so no pair of different groups that meets in a node is
-   lost, and nothing is capped.
+   making a row for each pair: an exact way for the rest, and nothing is capped.
 5. A pair is compared by its minwise tokens first (dropped if they agree so little that a similar pair would do so less
    than once in 10^7), then by its sets of shingles in full, from the texts.
 6. Groups come from alternating minimum propagation and pointer jumping over the links, in tables in the shared folder.
 
-A pair of similarity 0.8 meets at depth 4 in a given tree with probability 0.41, so it is missed by all 40 trees with
-probability 1e-9; at the greatest depth, 8, with 6e-4, and only where all its nodes stay large.
+All trees draw from the same 128 tokens, so they are not independent: how many of these agree decides for all of them.
+Averaged over the binomial number of agreements, a pair of similarity 0.8 meets in none of the trees with probability
+4.6e-7 at depth 4 (40 trees), 2.4e-7 at depth 6 (100) and 4.6e-8 at depth 8 (300): with step 5, below `MISS` in all, however
+large its nodes are. Recall is that target, not a proof.
 
 Hot groups: exact copies are one row from step 1 on; near copies meet in hot nodes, whose rows are aggregated to a least
 id before they are shuffled, and compared linearly.
@@ -45,11 +46,13 @@ from pyspark.sql import functions as F
 from . import common
 
 SIZE, TREES, PIVOT_TREES, FIRST, LAST, SMALL, SEED = 128, 40, 6, 4, 8, 24, 20250
+#: Trees by depth, so many that a pair of similarity 0.8 is missed with a probability below MISS.
+LEVELS, MISS = {FIRST: TREES, 6: 100, LAST: 300}, 1e-6
 _rng = np.random.default_rng(SEED)
 _A = (_rng.integers(0, 2**32, SIZE, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
 _B = _rng.integers(0, 2**32, SIZE, dtype=np.uint64).astype(np.uint32)
 #: The tokens that each tree branches by, step by step.
-PATHS = np.stack([_rng.permutation(SIZE)[:LAST] for _ in range(TREES)])
+PATHS = np.stack([_rng.permutation(SIZE)[:LAST] for _ in range(max(LEVELS.values()))])
 #: A pair of similarity 0.8 agrees in fewer of 128 tokens with a probability below 1e-7.
 AGREE = 77
 BROADCAST_IDS = 2_000_000
@@ -137,25 +140,6 @@ def nodes(classes: DataFrame, trees: int, depth: int) -> DataFrame:
     return out.select("id", "group", F.posexplode("nodes").alias("tree", "node"))
 
 
-def deeper(rows: DataFrame, classes: DataFrame, depth: int) -> DataFrame:
-    """The same one step further, for rows (id, group, tree) of nodes that are still large."""
-    schema = pa.schema([("id", pa.int64()), ("group", pa.int64()), ("tree", pa.int32()), ("node", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if len(b):
-                tokens = np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint32).reshape(len(b), SIZE)
-                tree = b.column(2).to_numpy()
-                key = np.empty(len(b), np.uint64)
-                for t in np.unique(tree):
-                    at = tree == t
-                    key[at] = chained(tokens[at], range(t, t + 1), depth)[:, 0]
-                yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(key.astype(np.int64))], schema=schema)
-
-    both = rows.select("id", "group", "tree").join(classes.select("id", "tokens"), "id")
-    return both.select("id", "group", "tree", "tokens").mapInArrow(run, "id long, group long, tree int, node long")
-
-
 def alike(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose sizes and minwise tokens allow the similarity."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -278,7 +262,7 @@ def open_links(classes: DataFrame, texts: DataFrame, k: int, percent: int) -> Da
         at = large.join(merged, "group", "left").select("node", "tree", "id", F.coalesce("joined", "group").alias("group"))
 
     pairs, rest, at = [], [], nodes(classes, TREES, FIRST)
-    for depth in range(FIRST, LAST + 1, 2):
+    for depth in LEVELS:
         mixed = still_mixed(at)
         pairs.append(all_pairs(mixed.where(F.col("n") <= SMALL)))
         large = mixed.where(F.col("n") > SMALL).select("node", "tree", "id", "group")
@@ -289,7 +273,8 @@ def open_links(classes: DataFrame, texts: DataFrame, k: int, percent: int) -> Da
             rest.append(large.join(main.select("node", "main"), "node"))
         else:
             rest.append(large.join(main.where("4 * m >= 3 * n").select("node", "main"), "node"))
-            at = deeper(large.join(main.where("4 * m < 3 * n").select("node"), "node", "left_semi"), classes, depth + 2)
+            on = large.join(main.where("4 * m < 3 * n").select("node"), "node", "left_semi").select("id").distinct()
+            at = nodes(common.cut(classes.join(on, "id", "left_semi"), "deeper"), LEVELS[depth + 2], depth + 2)
     out = pairs[0]
     for x in pairs[1:]:
         out = out.union(x)

@@ -1,6 +1,7 @@
 """The queries of the text operators against DuckDB, brute force, exact round trips and held-out labels."""
 
 import hashlib
+import math
 import re
 import zlib
 
@@ -143,6 +144,34 @@ def test_near_dedup_of_a_large_group_of_near_copies(spark):
     assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(df, 4, 80).collect()} == want
 
 
+def test_near_dedup_recall_at_every_depth():
+    """Miss of a pair of similarity 0.8, computed, and counted among pairs by the trees' own paths."""
+    n, p = near_dedup.SIZE, 0.8
+    chance = [math.comb(n, m) * p**m * (1 - p) ** (n - m) for m in range(n + 1)]
+    miss = {d: sum(c * (1 - math.comb(m, d) / math.comb(n, d)) ** trees for m, c in enumerate(chance)) for d, trees in near_dedup.LEVELS.items()}
+    assert list(miss) == [near_dedup.FIRST, 6, near_dedup.LAST] and sum(miss.values()) + sum(chance[: near_dedup.AGREE]) < near_dedup.MISS
+    agree = np.random.default_rng(3).random((20_000, n)) < p
+    for d, trees in near_dedup.LEVELS.items():
+        assert np.any([agree[:, path[:d]].all(1) for path in near_dedup.PATHS[:trees]], axis=0).all()
+
+
+def test_near_dedup_finds_links_in_large_nodes_without_a_main_group(spark):
+    """Texts that share a long passage, with edited copies of some: nodes are large at depth 4 and hold many groups."""
+    rng = np.random.default_rng(9)
+    passage, docs = [f"p{x}" for x in range(120)], {}
+    for i in range(120):
+        own = [f"d{i}x{x}" for x in range(40)]
+        docs[2 * i] = " ".join(passage + own)
+        if i % 3 == 0:
+            for at in rng.choice(40, 3, replace=False):
+                own[at] += "e"
+            docs[2 * i + 1] = " ".join(passage + own)
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    want, _ = groups(docs, 4, 80)
+    assert len(set(want.values())) == 120
+    assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(df, 4, 80).collect()} == want
+
+
 @pytest.mark.parametrize(("train", "score", "label", "cut", "least", "most_wrong"), [(toxicity.train, toxicity.score_documents, "toxic", 0.5, 0.85, 0.01), (quality_gam.train, quality_gam.score_documents, "quality", 0.3, 0.97, 0.05)])
 def test_held_out_accuracy(spark, train, score, label, cut, least, most_wrong):
     docs, labels = common.table(spark, SF3, "documents"), common.table(spark, SF3, "labels")
