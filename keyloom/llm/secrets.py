@@ -1,14 +1,15 @@
 """Secret scans with a random forest for false-positive removal; DataFrame functions only.
 
-Candidates are found by one pattern: keys with known beginnings, private key blocks, signed tokens, values assigned to
-words such as `password`, and any run of 16 or more token characters with a digit. Cutting the text at the
+Candidates are found by one pattern: keys with known beginnings, private key blocks up to their END line, signed tokens, values
+of 6 or more characters assigned to names with words such as `password` or `api_key` in them, and any run of 16 or more token
+characters with a digit that isn't a name itself. Cutting the text at the
 pattern gives what stands between candidates, hence each one's place and neighbours, without leaving the JVM.
 
 Features of a candidate (`FEATURES`): its length and kinds of characters, character transitions (changes of kind, common
 letter pairs, distinct characters), dictionary coverage (share of its characters in common words), path signs
 (slashes, URL or file before it), and neighbouring words (secret words, an assignment, quotation marks; words of examples,
 digests, identifiers). The forest is trained from labelled findings, `labelled_findings`: by default a table
-of made-up findings of ten kinds, generated in Spark by hashing row numbers, a third of them real secrets. Trained trees
+of made-up findings, generated in Spark by hashing row numbers, half of their kinds real secrets. Trained trees
 become nested CASE expressions; a candidate's probability is the mean of its trees' leaves.
 
 A finding is reported if the probability is `THRESHOLD` or more. `redact` replaces reported values in their places
@@ -28,15 +29,22 @@ from pyspark.sql import functions as F
 
 THRESHOLD, TREES, DEPTH, FINDINGS = 0.5, 24, 8, 6_000
 NEAR = 48
+#: Names whose value is a candidate, whatever stands before them (DB_PASSWORD), and what may follow in the name (access_key_id).
+_REST = r"(?:[_-][A-Za-z0-9]{1,20}){0,3}+[\"']?[ \t]{0,3}[:=][ \t]{0,3}[\"']?"
+PASSWORD = r"(?i:passw(?:or)?d|passwd|pwd)" + _REST + r"[^\s\"',;]{6,}+"
+NAMED = r"(?i:secret|token|credentials?|(?:api|access|auth|private|signing)[_-]?key)" + _REST + r"[A-Za-z0-9+/_.~=-]{6,}+"
+#: What a token may not be: a name before a value.
+_NAME = rf"(?![A-Za-z0-9_-]{{0,60}}?(?:{PASSWORD}|{NAMED}))"
 KINDS = {
-    "private_key": r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[^-]*+-----END [A-Z ]{0,40}PRIVATE KEY-----",
+    "private_key": r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[\s\S]*?-----END [A-Z ]{0,40}PRIVATE KEY-----",
     "signed_token": r"eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+",
     "cloud_key": r"(?:AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Z])",
     "service_key": r"(?:gh[pousr]_|github_pat_|glpat-|sk-|sk_live_|rk_live_|xox[abprs]-|AIza)[A-Za-z0-9_-]{16,}+",
-    "password": r"(?i:passw(?:or)?d|passwd|pwd)[\"']?[ \t]{0,3}[:=][ \t]{0,3}[\"']?[^\s\"',;]{6,}+",
-    "token": r"(?=[A-Za-z+/_=-]{0,64}[0-9])[A-Za-z0-9+/_=-]{16,}+",
+    "password": PASSWORD,
+    "token": r"(?=[A-Za-z+/_-]{0,64}[0-9])" + _NAME + r"[A-Za-z0-9+/_-]{16,}+(?!=[\"']?[A-Za-z0-9+/_-])={0,2}+",
 }
-PATTERN = r"(?<![A-Za-z0-9+/_=-])(?:" + "|".join(KINDS.values()) + ")"
+_KNOWN = [k for k in KINDS if k not in ("password", "token")]
+PATTERN = r"(?<![A-Za-z0-9+/_-])(?:" + "|".join(KINDS[k] for k in _KNOWN) + f")|{PASSWORD}|{NAMED}|(?<![A-Za-z0-9+/_-]){KINDS['token']}"
 PAIRS = "th|he|in|er|an|re|on|at|en|nd|ti|es|or|te|of|ed|is|it|al|ar|st|to|nt|ng|se|ha|as|ou|io|le|ve|co|me|de|hi|ri|ro|ic|ne|ea|ra|ce"
 DICTIONARY = (
     "access account action address admin agent alpha android application archive article assets auth author backup banner basic beta block board branch browser buffer build button cache call card center change channel "
@@ -61,12 +69,13 @@ def spots(text: Column) -> Column:
 
 
 def value_of(match: Column) -> tuple[Column, Column]:
-    """Kind and value of a candidate: a password's value is what is assigned."""
-    kind = F.lit("token")
-    for name in reversed([k for k in KINDS if k != "token"]):
-        kind = F.when(match.rlike("^" + KINDS[name]), name).otherwise(kind)
+    """Kind and value of a candidate: a name's value is what is assigned, and of a known kind if it begins like one."""
     assigned = F.regexp_extract(match, r"[:=][ \t]*[\"']?([^\s\"',;]+)$", 1)
-    return kind, F.when(match.rlike("^" + KINDS["password"]), assigned).otherwise(match)
+    value = F.when(match.rlike(f"^(?:{PASSWORD}|{NAMED})"), assigned).otherwise(match)
+    kind = F.when(match.rlike("^" + PASSWORD), "password").otherwise(F.lit("token"))
+    for name in reversed(_KNOWN):
+        kind = F.when(value.rlike("^" + KINDS[name]), name).otherwise(kind)
+    return kind, value
 
 
 def features(v: Column, kind: Column, before: Column, after: Column) -> dict[str, Column]:
@@ -133,15 +142,19 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     upper = F.left(F.upper(F.concat(h("x"), h("y"))), size("n", 32, 48))
     prefixed = F.concat(pick("g", ["ghp_", "sk-", "sk_live_", "xoxb-", "AIza"]), F.left(alnum, size("n", 24, 40)))
     repeated = F.repeat(pick("r", ["0123456789abcdef", "abc123", "xxxxxxxx1", "1234", "00000000"]), 4)
-    chosen = F.pmod(i, F.lit(12))
     makes = [
         (hexes, "token", secret_lead, 1), (F.left(alnum, size("n", 20, 48)), "token", secret_lead, 1), (upper, "token", secret_lead, 1),
         (prefixed, "service_key", F.when(F.col("id") % 24 < 12, secret_lead).otherwise(plain_lead), 1), (F.concat(F.lit("AKIA"), F.left(F.upper(h("x")), F.lit(16))), "cloud_key", plain_lead, 1),
         (hexes, "token", digest_lead, 0), (number, "token", plain_lead, 0), (words, "token", F.when(F.col("id") % 24 < 12, secret_lead).otherwise(plain_lead), 0),
         (F.concat(words, F.lit("/"), F.left(h("z"), F.lit(12))), "token", path_lead, 0), (uuid, "token", F.when(F.col("id") % 24 < 12, digest_lead).otherwise(plain_lead), 0),
         (repeated, "token", secret_lead, 0), (F.concat(word("w1"), word("w2"), F.left(h("z"), F.lit(3))), "password", secret_lead, 1),
+        (F.concat(word("w1"), pick("v", ["horse", "tiger", "winter", "dragon", "monkey", "hunter", "summer"])), "password", secret_lead, 1), (F.concat(pick("v", ["horse", "tiger", "winter", "dragon", "hunter"]), F.left(number, F.lit(2))), "password", secret_lead, 1),
+        (F.left(alnum, size("n", 10, 18)), "token", secret_lead, 1), (F.left(hexes, size("n", 10, 18)), "token", secret_lead, 1), (F.left(F.regexp_replace(alnum, "[0-9]", ""), size("n", 16, 32)), "token", secret_lead, 1),
+        (word("w1"), "password", secret_lead, 0), (word("w1"), "token", secret_lead, 0), (F.concat(word("w1"), mark, word("w2")), "token", secret_lead, 0), (F.concat(word("w1"), F.lit("."), word("w2")), "token", secret_lead, 0),
     ]
 
+    chosen = F.pmod(i, F.lit(len(makes)))
+
     def choose(at: int) -> Column:
         out = F.lit(None)
         for k, row in enumerate(makes):
