@@ -2,7 +2,7 @@
 
 toxicity drops documents that score as toxic; near-dedup keeps one document of each group; secret scans replace found
 secrets in texts; mixing repeats and drops documents by their sources' target weights and puts them in training order;
-BPE returns each document's token ids.
+BPE returns each document's token ids with its place in training order, and sorted by that.
 """
 
 from __future__ import annotations
@@ -30,8 +30,18 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(docs)
 
 
+def in_order(docs: DataFrame) -> DataFrame:
+    """doc_id, text and place (0, 1, ...) of rows read from sorted files: by the files' names, then the rows within each."""
+    rows = docs.select("doc_id", "text", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
+    first, at = {}, 0
+    for r in sorted(rows.groupBy("file").count().collect()):
+        first[r["file"]], at = at, at + r["count"]
+    start = F.element_at(F.create_map(*(F.lit(x) for kv in first.items() for x in kv)), F.col("file")) if first else F.lit(0)
+    return rows.select("doc_id", "text", (start + F.col("row")).cast("long").alias("place"))
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.encode_documents(docs, queries.vocabulary()).drop("decoded_sha256")
+    return bpe.encode_documents(in_order(docs), queries.vocabulary(), place="place").drop("decoded_sha256").orderBy("place")
 
 
 STAGES = [("toxicity", drop_toxic), ("near_dedup", drop_near_duplicates), ("secrets", redact_secrets), ("mixing", mix_sources), ("bpe", encode)]

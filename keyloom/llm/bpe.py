@@ -201,21 +201,22 @@ def join_tree(c: Codec, leaves: list[tuple[list[int], int, bool]]) -> list[int]:
     return join(c, join_tree(c, leaves[: k + 1]), join_tree(c, leaves[k + 1 :]), leaves[k][2])
 
 
-def digest(c: Codec, doc_id, ids: list[int]) -> tuple:
-    return doc_id, len(ids), hashlib.sha256(np.asarray(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(c.decode(ids).encode("utf-8")).hexdigest(), ids
+def digest(c: Codec, doc_id, place, ids: list[int]) -> tuple:
+    return doc_id, place, len(ids), hashlib.sha256(np.asarray(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(c.decode(ids).encode("utf-8")).hexdigest(), ids
 
 
-DIGEST = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("ids", pa.list_(pa.int32()))])
+DIGEST = pa.schema([("doc_id", pa.int64()), ("place", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("ids", pa.list_(pa.int32()))])
 
 
-def encode_documents(docs: DataFrame, vocabulary: str, leaf_chars: int = LEAF_CHARS, with_ids: bool = True) -> DataFrame:
-    """One row per row of docs: n_tokens, digests of ids and of the decoded text, and the ids themselves.
+def encode_documents(docs: DataFrame, vocabulary: str, leaf_chars: int = LEAF_CHARS, with_ids: bool = True, place: str | None = None) -> DataFrame:
+    """One row per row of docs: n_tokens, digests of ids and of the decoded text, and the ids themselves; with `place`, a
+    column of whole numbers, that too (rows come in no order).
 
     Long texts' leaves are dealt out by row and place, so one huge text keeps many tasks busy; its leaves' ids (far
     shorter than the text) meet again in the task that joins them.
     """
-    schema = pa.schema(list(DIGEST)[: 5 if with_ids else 4])
-    columns = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    schema = pa.schema(list(DIGEST)[: 6 if with_ids else 5])
+    columns = "doc_id long, place long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     c = codec(vocabulary)
     content = docs.sparkSession.sparkContext.broadcast(open(vocabulary, encoding="utf-8").read())
     special, width = c.special, len(schema)
@@ -227,42 +228,43 @@ def encode_documents(docs: DataFrame, vocabulary: str, leaf_chars: int = LEAF_CH
         c = codec(vocabulary, content.value)
         for b in batches:
             texts = b.column(1).to_pylist()
-            yield rows([digest(c, i, ids) for i, ids in zip(b.column(0).to_pylist(), c.encode_batch(texts), strict=True)])
+            yield rows([digest(c, i, p, ids) for i, p, ids in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), c.encode_batch(texts), strict=True)])
 
-    leaf = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("row", pa.int64()), ("leaf", pa.int32()), ("depth", pa.int32()), ("sure", pa.bool_()), ("text", pa.string())])
+    leaf = pa.schema([("doc_id", pa.int64()), ("place", pa.int64()), ("part", pa.int32()), ("row", pa.int64()), ("leaf", pa.int32()), ("depth", pa.int32()), ("sure", pa.bool_()), ("text", pa.string())])
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, row = TaskContext.get().partitionId(), 0
         for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                yield common.batch(leaf, list(zip(*((doc_id, part, row, k, d, s, t) for k, (t, d, s) in enumerate(split_tree(text.as_py(), special, leaf_chars))), strict=True)))
+            for doc_id, text, p in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
+                yield common.batch(leaf, list(zip(*((doc_id, p, part, row, k, d, s, t) for k, (t, d, s) in enumerate(split_tree(text.as_py(), special, leaf_chars))), strict=True)))
                 row += 1
 
-    coded = pa.schema([*list(leaf)[:6], ("ids", pa.binary())])
+    coded = pa.schema([*list(leaf)[:7], ("ids", pa.binary())])
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(vocabulary, content.value)
         for b in batches:
-            ids = [np.asarray(x, "<u4").tobytes() for x in c.encode_batch(b.column(6).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*b.columns[:6], pa.array(ids, pa.binary())], schema=coded)
+            ids = [np.asarray(x, "<u4").tobytes() for x in c.encode_batch(b.column(7).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*b.columns[:7], pa.array(ids, pa.binary())], schema=coded)
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(vocabulary, content.value)
         at, own = None, []
         for b in batches:
             for r in b.to_pylist():
-                if at is not None and at[1:] != (r["part"], r["row"]):
-                    yield rows([digest(c, at[0], join_tree(c, own))])
+                if at is not None and at[2:] != (r["part"], r["row"]):
+                    yield rows([digest(c, *at[:2], join_tree(c, own))])
                     own = []
-                at = r["doc_id"], r["part"], r["row"]
+                at = r["doc_id"], r["place"], r["part"], r["row"]
                 own.append((np.frombuffer(r["ids"], "<u4").tolist(), r["depth"], r["sure"]))
         if at is not None:
-            yield rows([digest(c, at[0], join_tree(c, own))])
+            yield rows([digest(c, *at[:2], join_tree(c, own))])
 
-    texts = common.documents(docs)
+    texts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), (F.col(place) if place else F.lit(None)).cast("long").alias("place"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     short = common.map_rows(texts.where(F.length("text") <= leaf_chars), whole, columns)
-    long = common.map_rows(texts.where(F.length("text") > leaf_chars), split, "doc_id long, part int, row long, leaf int, depth int, sure boolean, text string")
-    long = common.map_rows(long.repartition(n, "part", "row", "leaf"), leaves, "doc_id long, part int, row long, leaf int, depth int, sure boolean, ids binary")
+    long = common.map_rows(texts.where(F.length("text") > leaf_chars), split, "doc_id long, place long, part int, row long, leaf int, depth int, sure boolean, text string")
+    long = common.map_rows(long.repartition(n, "part", "row", "leaf"), leaves, "doc_id long, place long, part int, row long, leaf int, depth int, sure boolean, ids binary")
     long = long.repartition(n, "part", "row").sortWithinPartitions("part", "row", "leaf")
-    return short.unionByName(common.map_rows(long, joined, columns))
+    out = short.unionByName(common.map_rows(long, joined, columns))
+    return out if place else out.drop("place")

@@ -193,6 +193,25 @@ def test_pipeline_stages(spark, docs):
     assert empty.count() == 0
 
 
+def test_pipeline_keeps_the_training_order(spark, monkeypatch):
+    """Short and long texts stand where mixing puts them, each pass by itself; other schedules give another order."""
+    rows = [(i, LONG if i % 10 == 3 else f"text number {i} of some words", "en", "abc"[i % 3], 0) for i in range(40)]
+    df = common.cut(spark.createDataFrame(rows, SCHEMA), "test-order")
+
+    def order():
+        mixed = common.cut(corpus_pipeline.mix_sources(spark, df, SF), "test-mixed")
+        out = corpus_pipeline.encode(spark, mixed, SF).collect()
+        assert [r.place for r in out] == list(range(len(out)))
+        assert [r.doc_id for r in out] == [r.doc_id for r in mixing.mix_documents(df).collect()]
+        return [r.doc_id for r in out]
+
+    first = order()
+    assert len(first) > len(set(first))
+    monkeypatch.setattr(mixing, "SCHEDULES", ((0.1, 1.9), (1.9, 0.1), (1.0, 1.0)))
+    second = order()
+    assert second != first and sorted(second) == sorted(first)
+
+
 def test_pipeline_is_its_stages_by_brute_force(spark):
     """On the smallest table: what run() returns is what the operators say one by one, the last against the tokenizers library."""
     docs = common.table(spark, SF, "documents")
