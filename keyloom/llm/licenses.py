@@ -12,6 +12,9 @@ every such block:
 * positional filter: if the rarest word that it shares is the template's i-th, at most t - i words can be shared;
 * the words of what is left are compared in full.
 
+`labels` are all labels that the join finds. As short templates of different licenses share most words, `licenses` are those
+whose block also holds the template's distinguishing words (`MARKS`), beside the base phrases' labels.
+
 Templates are a fixed list in this module, so their index goes along with the code; texts never meet each other and
 nothing is shuffled but the count of each template word.
 
@@ -63,6 +66,8 @@ TEMPLATES: dict[str, list[str]] = {
     "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"],
     "unlicense": ["This is free and unencumbered software released into the public domain"],
 }
+#: Words that tell licenses apart: a block without those of its template may be of another license.
+MARKS = frozenset(b"apache mit bsd gnu lesser affero mozilla creative cc nc noncommercial sharealike unencumbered".split())
 WORD_BYTES = bytes([*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)])
 TO_WORDS = bytes(b + 32 if 65 <= b <= 90 else b if b in WORD_BYTES else 32 for b in range(256))
 
@@ -78,6 +83,7 @@ class Template:
         self.words = sorted(set(words), key=lambda w: rank.get(w, (0, w)))
         self.need = math.ceil(threshold * len(self.words) - 1e-9)
         self.prefix = self.words[: len(self.words) - self.need + 1]
+        self.marks = MARKS & set(self.words)
         self.place = {w: i for i, w in enumerate(self.words)}
 
 
@@ -104,8 +110,8 @@ class Matcher:
                         found.setdefault(i, set()).update((k, max(0, k - 1)))
         return found
 
-    def match(self, words: list[bytes]) -> list[tuple[str, int, int, float]]:
-        """label, first word, end word and containment of every block that meets the threshold."""
+    def match(self, words: list[bytes]) -> list[tuple[str, int, int, float, bool]]:
+        """label, first word, end word and containment of every block that meets the threshold, and whether it has the marks."""
         out = []
         for i, blocks in self.candidates(words).items():
             t = self.templates[i]
@@ -121,7 +127,7 @@ class Matcher:
                     continue
                 shared = sum(w in have for w in t.words)
                 if shared >= t.need:
-                    out.append((t.label, k * t.span, k * t.span + len(block), shared / len(t.words)))
+                    out.append((t.label, k * t.span, k * t.span + len(block), shared / len(t.words), t.marks <= have))
         return out
 
 
@@ -158,9 +164,9 @@ def word_frequency(docs: DataFrame, templates: dict[str, list[str]] | None = Non
 
 
 def scan(docs: DataFrame, threshold: float = THRESHOLD, templates: dict[str, list[str]] | None = None) -> DataFrame:
-    """One row per row of docs: base phrases, labels, the best containment as score and the matched blocks."""
+    """One row per row of docs: base phrases, labels, licenses, the best containment as score and the matched blocks."""
     matcher = Matcher(word_frequency(docs, templates), threshold, templates)
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64()), ("n_blocks", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64()), ("n_blocks", pa.int64()), ("licenses", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -170,7 +176,7 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, templates: dict[str, lis
                 base, blocks = phrases_at(words), matcher.match(words)
                 starts, own = [x for x, _ in base], {x for _, x in base}
                 score = 1.0 if base else max((x[3] for x in blocks), default=0.0)
-                rows.append((doc_id, len(words), len(base), min(starts, default=None), max(starts, default=None), ",".join(sorted(own)), ",".join(sorted(own | {x[0] for x in blocks})), score, len(blocks)))
+                rows.append((doc_id, len(words), len(base), min(starts, default=None), max(starts, default=None), ",".join(sorted(own)), ",".join(sorted(own | {x[0] for x in blocks})), score, len(blocks), ",".join(sorted(own | {x[0] for x in blocks if x[4]}))))
             yield common.batch(schema, list(zip(*rows, strict=True)) if rows else [[] for _ in schema])
 
-    return common.map_rows(common.documents(docs), run, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, n_blocks long")
+    return common.map_rows(common.documents(docs), run, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, n_blocks long, licenses string")

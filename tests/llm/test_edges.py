@@ -76,6 +76,18 @@ def test_bpe_joins_equal_the_whole():
         assert ids == t.encode(text, add_special_tokens=False).ids
 
 
+def test_licenses_that_share_most_words(spark):
+    gpl = "you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation"
+    lines = [
+        ("Licensed under the Apache License, Version 2.0.", "apache-2.0"), ("This work is licensed under the GNU General Public License, version 3.", "gpl"), ("Licensed under the MIT License.", "mit"),
+        (gpl.format(""), "gpl"), (gpl.format("Lesser "), "gpl,lgpl"),
+    ]
+    rows = [(100 * k + pad, "x " * pad + text) for k, (text, _) in enumerate(lines) for pad in range(6)]
+    for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        assert r.licenses == lines[r.doc_id // 100][1], rows
+        assert set(r.licenses.split(",")) <= set(r.labels.split(","))
+
+
 def test_prefix_hashes():
     a, b = (fingerprint.PrefixHash(fingerprint.code_points(x)) for x in ("abcabcabd", "xxabcabd"))
     assert a.span(0, 3) == a.span(3, 6) == b.span(2, 5) != a.span(6, 9)
