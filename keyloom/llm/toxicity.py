@@ -61,7 +61,7 @@ class Transducer:
         self.step = step
 
     def __matmul__(self, other: Transducer) -> Transducer:
-        """The composition: both read the symbol; factors multiply, additions add up. Reachable states only."""
+        """The composition: both read the symbol; factors multiply, and scale the additions made before. Reachable states only."""
         names, todo, step = {(0, 0): 0}, [(0, 0)], []
         for a, b in todo:
             arcs = []
@@ -70,7 +70,7 @@ class Transducer:
                 if (x, y) not in names:
                     names[x, y] = len(todo)
                     todo.append((x, y))
-                arcs.append((names[x, y], f * g, p + q))
+                arcs.append((names[x, y], f * g, p * g + q))
             step.append(arcs)
         return Transducer(step)
 
@@ -84,9 +84,10 @@ def grammar() -> Transducer:
     insult = Transducer([[(0, 1.0 if x == INSULT else 0.0, 0.0) for x in range(8)]])
     target = _window(4, TARGET, 1.25, (INSULT,))
     threat = Transducer([[(2 if x == THREAT else 0 if x in (END, TARGET) else max(0, s - 1), 1.0, 2.5 if s and x == TARGET else 0.0) for x in range(8)] for s in range(3)])
-    negation = _window(3, NEGATION, 0.4, (INSULT,))
+    # A threat's addition is made at its target, so negation and reported speech scale that symbol as well.
+    negation = _window(3, NEGATION, 0.4, (INSULT, TARGET))
     # 0 outside, 1 after a verb of saying, 2 within quotation marks (until they close or the clause ends)
-    reported = Transducer([[(0 if x == END else 1 if x == REPORTED else (0 if s == 2 else 2) if x == QUOTE else s, 0.6 if s and x == INSULT else 1.0, 0.0) for x in range(8)] for s in range(3)])
+    reported = Transducer([[(0 if x == END else 1 if x == REPORTED else (0 if s == 2 else 2) if x == QUOTE else s, 0.6 if s and x in (INSULT, TARGET) else 1.0, 0.0) for x in range(8)] for s in range(3)])
     return insult @ target @ threat @ negation @ reported
 
 

@@ -66,6 +66,14 @@ def test_toxicity_grammar():
     assert score("i will kill you") > score("i will kill time")
 
 
+def test_toxicity_of_negated_and_reported_threats():
+    total = lambda t: sum(toxicity.clauses(t, toxicity.Model().lexicon()))
+    bare = total("he would hurt you")
+    assert bare == 2.5 and total("he would never hurt you") == pytest.approx(0.4 * bare)
+    assert total("then someone said hurt you") == pytest.approx(0.6 * bare) and total("he said he would never hurt you") == pytest.approx(0.24 * bare)
+    assert total("you are an idiot") == pytest.approx(1.25 * total("idiot"))
+
+
 def test_bpe_joins_equal_the_whole():
     c = bpe.codec(queries.vocabulary())
     t = Tokenizer.from_file(queries.vocabulary())
