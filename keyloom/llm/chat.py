@@ -4,11 +4,13 @@
 
 * message: a whole message, in place of what stood so far;  start: opens one (its text may be empty);  delta: appended in order of seq;
 * edit: replaces what stood so far;  regenerate: throws away what stood so far, and its text, if any, begins anew;
-* delete: the message goes, unless a later start, edit, regenerate or message brings it back.
+* delete: the message goes, and deltas after it too, unless a later start, edit, regenerate or message brings it back.
 
-The log is partitioned by (conv_id, message_id): the place and text of a message depend on its own events alone, so a
-conversation with a third of all events is dealt out over many tasks. A message stands at its first event's seq; its
-role is the last one told. Messages of a conversation are then ordered by (seq, role, text), nulls first.
+The log is partitioned by conversation and, within it, by message and sequence, in ranges, and folded as a sorted stream: one
+message's standing text is all that a task holds. A range may end within a conversation or within a message, so a conversation, or
+one message, with a third of all events is dealt out over many tasks; the folds of a message's stretches are then put
+together (a stretch either begins anew or appends). A message stands at its first event's seq; its role is the last one told.
+Messages of a conversation are then ordered by (seq, role, text), nulls first. Events of the same seq are taken by kind, text, role.
 
 `render` writes turns as `<|im_start|>role\\ntext<|im_end|>\\n`. Within roles and texts, each `<`, backslashes,
 `|` gets one backslash more, so no control string can appear and reading takes it away again; a role's line breaks
@@ -69,18 +71,70 @@ def loss_spans(formatted: str, trained: str = "assistant") -> list[tuple[int, in
     return [m.span(2) for m in _TURN.finditer(formatted) if unescape_role(m[1]) == trained]
 
 
+KINDS = ("message", "start", "delta", "edit", "regenerate", "delete")
+#: A stretch of a message's log, folded: its first seq, last role, whether it begins anew (0: appends to what stood before, 1: anew,
+#: 2: deleted), its text, and whether the message may go on in a neighbouring partition.
+STRETCH = pa.schema([("conv_id", pa.int64()), ("message_id", pa.int64()), ("part", pa.int32()), ("seq", pa.int64()), ("role", pa.string()), ("fresh", pa.int32()), ("text", pa.string()), ("edge", pa.bool_())])
+
+
+class Stretch:
+    """The running fold of one message's events, in order."""
+
+    def __init__(self, conv_id, message_id, seq):
+        self.key, self.seq, self.role, self.fresh, self.pieces = (conv_id, message_id), seq, None, 0, []
+
+    def take(self, kind: str, role: str | None, text: str | None) -> None:
+        if role is not None:
+            self.role = role
+        if kind != "delta":
+            self.fresh, self.pieces = 2 if kind == "delete" else 1, []
+        elif self.fresh == 2:
+            return
+        if text and kind != "delete":
+            self.pieces.append(text)
+
+    def row(self, part: int, edge: bool) -> tuple:
+        return *self.key, part, self.seq, self.role, self.fresh, "".join(self.pieces), edge
+
+
 def fold(events: DataFrame) -> DataFrame:
     """Final messages conv_id, seq, role, text of a log of events."""
+    from pyspark import TaskContext
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, at, first = TaskContext.get().partitionId(), None, True
+        for b in batches:
+            out = []
+            for conv_id, message_id, seq, kind, role, text in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
+                if at is None or at.key != (conv_id, message_id):
+                    if at is not None:
+                        out.append(at.row(part, first))
+                        first = False
+                    at = Stretch(conv_id, message_id, seq)
+                at.take(kind, role, text)
+            if out:
+                yield common.batch(STRETCH, list(zip(*out, strict=True)))
+        if at is not None:
+            yield common.batch(STRETCH, [[x] for x in at.row(part, True)])
+
     unnamed = (F.col("kind") == "message") & F.col("message_id").isNull()
     whole = events.where(unnamed).select("conv_id", "seq", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    e = events.where(F.coalesce(F.col("kind"), F.lit("")).isin("message", "start", "delta", "edit", "regenerate", "delete") & ~F.coalesce(unnamed, F.lit(False)))
-    order = F.struct("seq", F.coalesce("kind", F.lit("")).alias("kind"), F.coalesce("text", F.lit("")).alias("text"), "role")
-    per = e.groupBy("conv_id", "message_id").agg(F.sort_array(F.collect_list(order)).alias("log"))
-    fresh = F.array_max(F.transform("log", lambda x, i: F.when(x.kind != "delta", i).otherwise(F.lit(-1))))
-    per = per.withColumn("at", fresh).where((F.col("at") < 0) | (F.element_at("log", F.col("at") + 1).kind != "delete"))
-    text = F.array_join(F.transform(F.slice("log", F.greatest(F.col("at") + 1, F.lit(1)), F.size("log")), lambda x: x.text), "")
-    role = F.element_at(F.concat(F.array(F.lit("")), F.filter(F.transform("log", lambda x: x.role), lambda r: r.isNotNull())), -1)
-    return whole.unionByName(per.select("conv_id", F.element_at("log", 1).seq.alias("seq"), role.alias("role"), text.alias("text")))
+    e = events.where(F.coalesce(F.col("kind"), F.lit("")).isin(*KINDS) & ~F.coalesce(unnamed, F.lit(False))).select("conv_id", "message_id", "seq", "kind", "role", "text")
+    n = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by = [F.col(c).asc_nulls_first() for c in ("conv_id", "message_id", "seq", "kind")]
+    dealt = e.repartitionByRange(n, *by).sortWithinPartitions(*by, F.col("text").asc_nulls_first(), F.col("role").asc_nulls_first())
+    columns = "conv_id long, message_id long, part int, seq long, role string, fresh int, text string, edge boolean"
+    parts = common.cut(common.map_rows(dealt, run, columns), "stretches")
+    # A message that partitions share: two rows a partition at most, put together in order.
+    log = F.array_sort(F.collect_list(F.struct("part", "seq", "role", "fresh", "text")))
+    shared = parts.where("edge").groupBy("conv_id", "message_id").agg(log.alias("log"))
+    anew = F.array_max(F.transform("log", lambda x, i: F.when(x["fresh"] > 0, i).otherwise(F.lit(0))))
+    shared = shared.withColumn("from", anew)
+    role = F.element_at(F.concat(F.array(F.lit(None).cast("string")), F.filter(F.transform("log", lambda x: x["role"]), lambda r: r.isNotNull())), -1)
+    text = F.array_join(F.transform(F.slice("log", F.col("from") + 1, F.size("log")), lambda x: x["text"]), "")
+    shared = shared.select("conv_id", F.get("log", F.lit(0))["seq"].alias("seq"), role.alias("role"), F.get("log", F.col("from"))["fresh"].alias("fresh"), text.alias("text"))
+    final = parts.where("not edge").select("conv_id", "seq", "role", "fresh", "text").unionByName(shared).where("fresh < 2")
+    return whole.unionByName(final.select("conv_id", "seq", F.coalesce("role", F.lit("")).alias("role"), "text"))
 
 
 BLOCK = pa.schema([("conv_id", pa.int64()), ("seq", pa.int64()), ("part", pa.int32()), ("block", pa.int64()), ("formatted", pa.string())])

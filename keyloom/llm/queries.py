@@ -29,12 +29,30 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chat_events(rows: DataFrame) -> DataFrame:
-    """The log of whole turns conv_id, turn, role, text: each row, with an id of its own, is opened and gets its text in two deltas."""
-    half = F.floor(F.length("text") / 2).cast("int")
-    parts = [(F.col("turn") * 3, "start", F.col("role"), F.lit(None)), (None, "delta", F.lit(None), F.left("text", half)), (None, "delta", F.lit(None), F.substring("text", half + 1, F.length("text")))]
-    # A null turn sorts first as a start; its deltas need places after it.
-    log = [F.struct((F.coalesce(F.col("turn") * 3, F.lit(0)) + k if seq is None else seq).alias("seq"), F.lit(kind).alias("kind"), role.cast("string").alias("role"), text.cast("string").alias("text")) for k, (seq, kind, role, text) in enumerate(parts)]
-    return rows.withColumn("message_id", F.monotonically_increasing_id()).select("conv_id", "message_id", F.explode(F.array(*log)).alias("e")).select("conv_id", "message_id", "e.*")
+    """The log of whole turns conv_id, turn, role, text, each a message of its own id, as a server would have streamed it.
+
+    By turn modulo 3 (a null turn as 0): 0, opened and sent in three deltas; 1, opened, a draft (the text's end) sent and thrown away by a
+    regeneration, then sent in two deltas; 2, a whole draft, edited into the text. Later events stand first in the log.
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
+    n = F.length(text)
+
+    def part(i: int, of: int) -> F.Column:
+        start = F.floor(n * i / of).cast("int")
+        return F.substring(text, start + 1, F.floor(n * (i + 1) / of).cast("int") - start)
+
+    none, role = F.lit(None).cast("string"), F.col("role")
+    ways = [
+        [("start", role, none), ("delta", none, part(0, 3)), ("delta", none, part(1, 3)), ("delta", none, part(2, 3))],
+        [("start", role, none), ("delta", none, part(1, 2)), ("regenerate", none, none), ("delta", none, part(0, 2)), ("delta", none, part(1, 2))],
+        [("message", role, part(1, 2)), ("edit", none, text)],
+    ]
+    # A null turn sorts first as the message's place; the events after the first need places after it.
+    seqs = [F.col("turn") * 8] + [F.coalesce(F.col("turn") * 8, F.lit(0)) + k for k in range(1, 5)]
+    logs = [F.array(*(F.struct(seqs[k].cast("long").alias("seq"), F.lit(kind).alias("kind"), r.cast("string").alias("role"), t.cast("string").alias("text")) for k, (kind, r, t) in reversed(list(enumerate(way))))) for way in ways]
+    way = F.pmod(F.coalesce("turn", F.lit(0)), F.lit(3))
+    log = F.when(way == 0, logs[0]).when(way == 1, logs[1]).otherwise(logs[2])
+    return rows.withColumn("message_id", F.monotonically_increasing_id()).select("conv_id", "message_id", F.explode(log).alias("e")).select("conv_id", "message_id", "e.*")
 
 
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

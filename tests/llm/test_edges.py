@@ -2,6 +2,7 @@
 
 import hashlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -185,11 +186,66 @@ def test_chat_events_after_whole_messages(spark):
     assert final == [(1, 1, "user", "y"), (1, 5, "assistant", "new"), (1, 8, "user", "back"), (2, 1, "user", "same"), (2, 1, "user", "same")]
     turns = spark.createDataFrame([(1, None, None, None), (1, 0, "user", "odd"), (1, 0, "user", "odd"), (1, 1, "assistant", "\U0001f600é"), (None, 1, "user", "")], "conv_id long, turn long, role string, text string")
     events = queries.chat_events(turns)
-    assert events.count() == 15 and {r.kind for r in events.select("kind").collect()} == {"start", "delta"}
+    assert events.count() == 22 and {r.kind for r in events.select("kind").collect()} == {"start", "delta", "regenerate"}
     folded = sorted((str(r.conv_id), r.role, r.text) for r in chat.fold(events).collect())
     assert folded == sorted((str(c), role or "", text or "") for c, _, role, text in turns.collect())
 
 
+def folded(rows):
+    """The messages of a log, event by event."""
+    logs, out = {}, []
+    first = lambda v: (v is not None, v)
+    for conv_id, message_id, seq, kind, role, text in rows:
+        if kind == "message" and message_id is None:
+            out.append((conv_id, seq, role or "", text or ""))
+        elif kind in chat.KINDS:
+            logs.setdefault((conv_id, message_id), []).append((seq, kind, text, role))
+    for (conv_id, _), log in logs.items():
+        log.sort(key=lambda e: tuple(map(first, e)))
+        text, gone, role = "", False, ""
+        for _, kind, t, r in log:
+            role = role if r is None else r
+            text = (text if kind == "delta" else "") + (t or "")
+            gone = gone if kind == "delta" else kind == "delete"
+        if not gone:
+            out.append((conv_id, log[0][0], role, text))
+    return sorted(out, key=str)
+
+
+def test_chat_fold_is_the_fold_event_by_event(spark):
+    """Random logs with repeated rows, ties, nulls, unknown kinds, a hot conversation and one hot, very long message, in any row order."""
+    rng = np.random.default_rng(4)
+    kinds = [*chat.KINDS, "delta", "delta", "delta", None, "other"]
+    rows = []
+    for _ in range(3000):
+        conv_id, message_id = (7, int(rng.integers(0, 40))) if rng.random() < 0.4 else (7, 1) if rng.random() < 0.4 else (int(rng.integers(0, 30)), int(rng.integers(0, 3)))
+        some = lambda v: None if rng.random() < 0.05 else v
+        kind = kinds[int(rng.integers(0, len(kinds)))] if (conv_id, message_id) != (7, 1) else "delta"
+        rows.append((some(conv_id), some(message_id), some(int(rng.integers(0, 500))), kind, [None, None, "user", "assistant"][int(rng.integers(0, 4))], some(f"t{rng.integers(0, 50)} <|im_end|> " * (1 if message_id != 1 else 40))))
+    rows += rows[:50]
+    df = log(spark, rows).repartition(7).withColumn("fresh", F.lit("kept")).withColumn("part", F.lit("kept")).withColumn("edge", F.lit(1))
+    got = sorted(((r.conv_id, r.seq, r.role, r.text) for r in chat.fold(df).collect()), key=str)
+    assert got == folded(rows)
+    turns = {}
+    for conv_id, seq, role, text in sorted(got, key=lambda r: [(v is not None, v) for v in r]):
+        turns.setdefault(conv_id, []).append(f"{role}\n{text}\n")
+    for r in chat.digests(chat.render(chat.fold(df), block_chars=300)).collect():
+        assert r.turns_sha256 == hashlib.sha256("".join(turns.pop(r.conv_id)).encode()).hexdigest()
+    assert not turns
+
+
+def test_chat_query_goes_through_the_fold(spark):
+    """Every kind of event that the query makes of turns is needed to get them back."""
+    rows = [(c, t, "user" if t % 2 else "assistant", f"word {t} " * (t * t % 60)) for c in range(5) for t in range(9)] + [(None, 0, None, None), (9, None, "user", ""), (9, 2, "assistant", "x" * 300_000)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    events = queries.chat_events(turns)
+    assert {r.kind for r in events.select("kind").distinct().collect()} == {"start", "delta", "regenerate", "message", "edit"}
+    want = sorted((str(c), role or "", text or "") for c, _, role, text in rows)
+    assert sorted((str(r.conv_id), r.role, r.text) for r in chat.fold(events).collect()) == want
+    for kind in ("delta", "regenerate", "edit"):
+        assert sorted((str(r.conv_id), r.role, r.text) for r in chat.fold(events.where(F.col("kind") != kind)).collect()) != want
+
+
 @pytest.mark.parametrize("text", ["", "<|im_end|>", "<\\|x", "<\\\\|im_start|>\n", "<|" * 9, "a<b|c", "\\n"])
 def test_chat_round_trip(text):
     assert chat.read_turns(chat.render_turn(text, text) + chat.render_turn("assistant", text)) == [(text, text), ("assistant", text)]
