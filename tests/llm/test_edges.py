@@ -75,14 +75,73 @@ def test_toxicity_of_negated_and_reported_threats():
     assert total("you are an idiot") == pytest.approx(1.25 * total("idiot"))
 
 
-def test_bpe_joins_equal_the_whole():
-    c = bpe.codec(queries.vocabulary())
+RNG = np.random.default_rng(11)
+SCRIPTS = {
+    "Cyrillic": (0x430, 0x450, 200_000), "Chinese": (0x4E00, 0x9FFF, 80_000), "Thai": (0xE01, 0xE5B, 70_000), "Arabic": (0x621, 0x64A, 70_000), "letters": (97, 105, 200_000), "one letter": (97, 98, 100_001),
+    "digits": (48, 58, 100_000), "signs": (33, 48, 100_000), "blanks": (32, 33, 100_000), "line breaks": (10, 11, 70_001), "emoji": (0x1F600, 0x1F640, 70_000),
+}
+
+
+def run_of(script):
+    low, high, n = SCRIPTS[script]
+    return "".join(map(chr, RNG.integers(low, high, n)))
+
+
+def joined(c, text, leaf_chars):
+    leaves = bpe.split_tree(text, c.special, leaf_chars)
+    assert "".join(x for x, _ in leaves) == text
+    return bpe.join_tree(c, [(c.encode(x), d) for x, d in leaves]), len(leaves)
+
+
+@pytest.fixture(scope="module")
+def whole():
     t = Tokenizer.from_file(queries.vocabulary())
-    for text in ("a" * 5000, "x1" * 2000, LONG[:9000], "abc'll don't " * 300, "ünï" * 900, "7" * 3001, "word" * 900 + "<|endoftext|>" + "word" * 900, " " * 2000, "aAbB9" * 500 + "\n\n" * 99):
-        leaves = bpe.split_tree(text, c.special, 128)
-        assert "".join(x for x, _, _ in leaves) == text
-        ids = bpe.join_tree(c, [(c.encode(x), d, s) for x, d, s in leaves])
-        assert ids == t.encode(text, add_special_tokens=False).ids
+    t.no_truncation()
+    t.no_padding()
+    return t
+
+
+@pytest.mark.parametrize("script", sorted(SCRIPTS))
+def test_bpe_cuts_long_runs_of_any_script(whole, script):
+    text = run_of(script)
+    ids, leaves = joined(bpe.codec(queries.vocabulary()), text, bpe.LEAF_CHARS)
+    assert leaves >= 4 and ids == whole.encode(text, add_special_tokens=False).ids
+
+
+def test_bpe_joins_equal_the_whole(whole):
+    c = bpe.codec(queries.vocabulary())
+    for text in ("a" * 5000, "x1" * 2000, LONG[:9000], "abc'll don't " * 300, "ünï" * 900, "7" * 3001, "word" * 900 + "<|endoftext|>" + "word" * 900, " " * 2000, "aAbB9" * 500 + "\n\n" * 99, "<|endoftext|>" * 200, "'" * 999 + "s" * 999):
+        assert joined(c, text, 128)[0] == whole.encode(text, add_special_tokens=False).ids
+    parts = ["a", "b", "th", "e", " ", "  ", "'", "s", "'ll", "1", "23", "!", "\n", "é", "漢", "😀", "<|endoftext|>", "<|", "|>", "\t", "ไ", "м", "\u00a0", "\u0301"]
+    for k in range(1500):
+        odds = RNG.choice([1, 1, 1, 30, 200], len(parts))
+        text = "".join(RNG.choice(parts, int(RNG.integers(2, 500)), p=odds / odds.sum()))
+        assert joined(c, text, [8, 20, 64, 300][k % 4])[0] == whole.encode(text, add_special_tokens=False).ids, text
+
+
+def test_bpe_encoders_agree_on_every_character(whole):
+    """The faster encoder sees letters, digits, signs and blanks where the tokenizers library does: all assigned planes."""
+    c = bpe.codec(queries.vocabulary())
+    for low, high in ((1, 0xD800), (0xE000, 0x33500), (0xE0000, 0xE0200)):
+        for at in range(low, high, 2000):
+            text = "".join(f"a{x}1{x}!{x} {x}\n" for x in map(chr, range(at, min(at + 2000, high))))
+            assert c.encode(text) == whole.encode(text, add_special_tokens=False).ids
+
+
+def test_bpe_of_long_rows(spark, whole):
+    """The query's own stages: long rows of every script, repeated ones and a null among short ones."""
+    rows = [(k, run_of(s)) for k, s in enumerate(sorted(SCRIPTS))] + [(99, LONG * 9), (99, LONG * 9), (None, LONG * 4), (50, "short"), (51, None)]
+    got = sorted((str(r.doc_id), r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.encode_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), queries.vocabulary(), with_ids=False).collect())
+    want = []
+    for i, text in rows:
+        ids = whole.encode(text or "", add_special_tokens=False).ids
+        want.append((str(i), len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(whole.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
+    assert got == sorted(want)
+
+
+def test_bpe_of_another_kind_of_vocabulary():
+    with pytest.raises(ValueError):
+        bpe.Codec('{"pre_tokenizer": {"type": "Whitespace"}, "model": {"type": "BPE", "vocab": {}, "merges": []}}')
 
 
 def test_licenses_that_share_most_words(spark):
