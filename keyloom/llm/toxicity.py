@@ -1,25 +1,31 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-Words are mapped to symbols: insult, threat, target, negation, reported speech, other. Five small transducers read a
-clause's symbols; each arc multiplies or adds a weight:
-
-* insult: lets an insult through at its lexicon weight;
-* target: an insult near someone spoken to or about weighs more;
-* threat: a threat counts once a target stands next to it;
-* negation: halves, and more, what stands within three words after it;
-* reported: what follows a verb of saying, or stands in quotation marks, weighs less.
-
-They are composed into one transducer, whose states are tuples of theirs. A clause's score is the sum over its matched
-arcs; a document's is the logistic function of its clauses' sum. Words alone decide nothing: all weight passes through the
-composed arcs.
+Words are mapped to symbols: insult, threat, person, reference, negation, reported speech, quotation mark, other. Five weighted
+transducers stand in a row, each reading what the one before writes:
+
+* negation: within three words after one, insults and threats pass at a part of their weight; negations are used up;
+* reported: so do they after a verb of saying, and within quotation marks;
+* target: an insult becomes an aimed one if someone or something is in reach of it, within six words before or after: a
+  person weighs more than a reference (an article, "this", "is") or another insult, and those more than a plain word right beside it,
+  which it may describe; a threat becomes an aimed one if a person follows within three words. All others become plain words.
+  That a target follows is guessed, and guesses that fail don't count;
+* insult: aimed insults become hits, each after the first in a clause weighing a little more;
+* threat: aimed threats become hits, and hits after a threat in the same clause weigh more.
+
+They are composed into one transducer, lazily: its states, tuples of theirs, are made when first reached. An arc's factor is the
+product of theirs. A path is worth the sum, over its hits, of the word's weight in the lexicon times the arc's factor; a clause is worth
+its best path; a document's score is the logistic function of its clauses' values. A word alone in its clause is worth nothing.
+Clauses end at marks and line ends, and have LEAST_WORDS words at least.
 
 The lexicon has seeds (common words of four languages) and stems learned from labels: beginnings of words that
 occur in toxic texts far more often than in others, beyond what chance would do among so many. Copies and
 near copies count once there (one text for each least five-word hash). Labels come from at most MAX_TOXIC and
-MAX_CLEAN labelled rows that are not held out, least xxhash64(doc_id) first: bounds that do not grow with the table.
+MAX_CLEAN labelled rows that are not held out, least xxhash64(doc_id) first: bounds that do not grow with the table, and so
+do not the words of those texts, which bound the stems.
 
 Defined cases: null text is empty; an empty text gets the score of no match; without usable labels the seeds and a fixed
-curve are used; null labels are left out; repeated rows are scored each by itself; other columns are not read.
+curve are used; null labels are left out; repeated rows are scored each by itself; doc_id is a whole number; other columns
+are not read.
 """
 
 from __future__ import annotations
@@ -27,7 +33,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,17 +42,24 @@ from pyspark.sql import functions as F
 
 from . import common
 
-MAX_TOXIC, MAX_CLEAN, MAX_STEMS, MIN_DOCS = 4_000, 8_000, 20_000, 5
+MAX_TOXIC, MAX_CLEAN, MIN_DOCS = 4_000, 8_000, 5
 STEM_LENGTHS = range(3, 11)
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORTED, QUOTE, END = range(8)
+OTHER, INSULT, THREAT, PERSON, REFERENCE, NEGATION, REPORTED, QUOTE, END = range(9)
+#: What transducers write besides.
+AIMED_INSULT, AIMED_THREAT, HIT = range(9, 12)
 SEEDS: dict[int, str] = {
     INSULT: "idiot idiots stupid moron morons loser losers scum trash clown pathetic worthless disgusting dumb imbecile fool bastard jerk creep vermin filth retard freak ugly "
     "dummkopf trottel vollidiot abschaum versager arschloch widerlich erbärmlich connard imbécile crétin salaud ordure abruti minable débile estúpido imbécil basura escoria patético asqueroso inútil",
     THREAT: "kill hurt destroy beat stab shoot murder strangle töten umbringen verprügeln tuer frapper détruire matar golpear destruir",
-    TARGET: "you your you're yourself he she they him her them du dich dir ihr euch sie tu toi te vous ton ta tú ti usted ustedes él ella",
+    PERSON: "you your you're yourself he she they him her them du dich dir ihr euch sie tu toi te vous ton ta tú ti usted ustedes él ella",
+    REFERENCE: "the a an this that these those it such is are was were be who der die das den dem des ein eine einen dieser diese dieses ist sind war bist "
+    "le la les un une des ce cet cette ces est es sont était el los las una unos unas este esta ese esa lo eres está son era",
     NEGATION: "not no never isn't aren't don't nicht kein keine nie pas jamais ne nunca jamás",
     REPORTED: "said says say told claimed wrote quoted reported sagte sagt schrieb behauptete disait écrit affirma dijo dice escribió",
 }
+THREAT_WEIGHT = 2.5
+#: A clause ends at a mark only if it has so many words: "You! Idiot!" is one.
+LEAST_WORDS = 3
 SEED_TOXIC, SEED_CLEAN = 2.0, 0.1
 #: The curve before labels: intercept, slope of log(1 + sum over clauses), slope of the highest clause.
 START = (-4.0, 2.0, 0.5)
@@ -55,40 +68,111 @@ _TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[.;:!?\n\"«»“”]")
 
 
 class Transducer:
-    """step[state][symbol] = (next state, factor, addition); state 0 begins a clause."""
+    """arcs(state, symbol): next states with the symbol written and a factor. State `first` begins a clause, which may end where final(state)."""
+
+    def __init__(self, first, arcs: Callable, final: Callable = lambda state: True):
+        self.first, self._arcs, self.final = first, arcs, final
+        self._known: dict[tuple, tuple] = {}
 
-    def __init__(self, step: list[list[tuple[int, float, float]]]):
-        self.step = step
+    def arcs(self, state, symbol: int) -> tuple:
+        if (out := self._known.get((state, symbol))) is None:
+            out = self._known[state, symbol] = tuple(self._arcs(state, symbol))
+        return out
 
     def __matmul__(self, other: Transducer) -> Transducer:
-        """The composition: both read the symbol; factors multiply, and scale the additions made before. Reachable states only."""
-        names, todo, step = {(0, 0): 0}, [(0, 0)], []
-        for a, b in todo:
-            arcs = []
-            for symbol in range(8):
-                (x, f, p), (y, g, q) = self.step[a][symbol], other.step[b][symbol]
-                if (x, y) not in names:
-                    names[x, y] = len(todo)
-                    todo.append((x, y))
-                arcs.append((names[x, y], f * g, p * g + q))
-            step.append(arcs)
-        return Transducer(step)
+        """The composition: `other` reads what this one writes, and factors multiply. States are numbered as they are reached."""
+        numbers, states = {(self.first, other.first): 0}, [(self.first, other.first)]
+
+        def arcs(state: int, symbol: int) -> Iterator[tuple]:
+            a, b = states[state]
+            for to_a, written, f in self.arcs(a, symbol):
+                for to_b, out, g in other.arcs(b, written):
+                    to = numbers.setdefault((to_a, to_b), len(states))
+                    if to == len(states):
+                        states.append((to_a, to_b))
+                    yield to, out, f * g
+
+        return Transducer(0, arcs, lambda state: self.final(states[state][0]) and other.final(states[state][1]))
+
+
+def negation(reach: int = 3, factor: float = 0.4) -> Transducer:
+    """State: how many words it still reaches."""
+
+    def arcs(left: int, x: int) -> list[tuple]:
+        if x == NEGATION:
+            return [(reach, OTHER, 1.0)]
+        return [(max(0, left - 1), x, factor if left and x in (INSULT, THREAT) else 1.0)]
+
+    return Transducer(0, arcs)
+
+
+def reported(factor: float = 0.6) -> Transducer:
+    """State: 0 outside, 1 after a verb of saying, 2 within quotation marks, until they close or the clause ends."""
 
+    def arcs(state: int, x: int) -> list[tuple]:
+        if x == REPORTED:
+            return [(max(state, 1), OTHER, 1.0)]
+        if x == QUOTE:
+            return [(0 if state == 2 else 2, OTHER, 1.0)]
+        return [(state, x, factor if state and x in (INSULT, THREAT) else 1.0)]
 
-def _window(n: int, opens: int, factor: float, on: tuple[int, ...]) -> Transducer:
-    """For n symbols after `opens`, the symbols `on` get the factor."""
-    return Transducer([[(n if x == opens else 0 if x == END else max(0, s - 1), factor if s and x in on else 1.0, 0.0) for x in range(8)] for s in range(n + 1)])
+    return Transducer(0, arcs)
+
+
+def target(reach: int = 6, after_threat: int = 3, person: float = 1.25, beside: float = 0.5) -> Transducer:
+    """State: words for which a person, and a reference, before still counts; whether a plain word stands right before; the kind of target
+    promised and the words left for it."""
+
+    def arcs(state: tuple, x: int) -> Iterator[tuple]:
+        people, things, plain, kind, left = state
+        if kind is not None:
+            if x == kind or (kind == REFERENCE and x == INSULT):
+                kind, left = None, 0
+            elif left == 1:
+                return  # the promise failed
+            else:
+                left -= 1
+        people, things = reach if x == PERSON else max(0, people - 1), reach if x in (REFERENCE, INSULT) else max(0, things - 1)
+        now = people, things, x == OTHER
+        rest = *now, kind, left
+        yield rest, OTHER if x in (INSULT, THREAT, PERSON, REFERENCE) else x, 1.0
+        if x == INSULT:
+            if people:
+                yield rest, AIMED_INSULT, person
+            if state[1]:
+                yield rest, AIMED_INSULT, 1.0
+            if plain:
+                yield rest, AIMED_INSULT, beside
+            for new, f, within in ((PERSON, person, reach), (REFERENCE, 1.0, reach), (OTHER, beside, 1)):
+                if kind is None:
+                    yield (*now, new, within), AIMED_INSULT, f
+                elif kind == new:
+                    yield rest, AIMED_INSULT, f
+        if x == THREAT and kind in (None, PERSON):
+            yield (*now, PERSON, after_threat if kind is None else min(left, after_threat)), AIMED_THREAT, 1.0
+
+    return Transducer((0, 0, False, None, 0), arcs, lambda state: state[3] is None)
+
+
+def insult(more: float = 1.1) -> Transducer:
+    """State: whether the clause had one."""
+    return Transducer(0, lambda had, x: [(1, HIT, more if had else 1.0)] if x == AIMED_INSULT else [(had, x, 1.0)])
+
+
+def threat(more: float = 1.25) -> Transducer:
+    """State: whether the clause had one."""
+    return Transducer(0, lambda had, x: [(1, HIT, 1.0)] if x == AIMED_THREAT else [(had, x, more if had and x == HIT else 1.0)])
+
+
+#: The five in their order.
+CASCADE = (negation, reported, target, insult, threat)
 
 
 def grammar() -> Transducer:
-    insult = Transducer([[(0, 1.0 if x == INSULT else 0.0, 0.0) for x in range(8)]])
-    target = _window(4, TARGET, 1.25, (INSULT,))
-    threat = Transducer([[(2 if x == THREAT else 0 if x in (END, TARGET) else max(0, s - 1), 1.0, 2.5 if s and x == TARGET else 0.0) for x in range(8)] for s in range(3)])
-    # A threat's addition is made at its target, so negation and reported speech scale that symbol as well.
-    negation = _window(3, NEGATION, 0.4, (INSULT, TARGET))
-    # 0 outside, 1 after a verb of saying, 2 within quotation marks (until they close or the clause ends)
-    reported = Transducer([[(0 if x == END else 1 if x == REPORTED else (0 if s == 2 else 2) if x == QUOTE else s, 0.6 if s and x in (INSULT, TARGET) else 1.0, 0.0) for x in range(8)] for s in range(3)])
-    return insult @ target @ threat @ negation @ reported
+    out = CASCADE[0]()
+    for make in CASCADE[1:]:
+        out = out @ make()
+    return out
 
 
 GRAMMAR = grammar()
@@ -107,7 +191,7 @@ class Lexicon(dict):
         if len(self) >= self.most:
             self.clear()
         kind = _SEEDED.get(word, _MARKS.get(word, OTHER))
-        weight = self.seeds.get(word, 0.0) if kind == INSULT else 0.0
+        weight = self.seeds.get(word, 0.0) if kind == INSULT else THREAT_WEIGHT if kind == THREAT else 0.0
         if kind == OTHER and self.stems:
             weight = max((self.stems.get(word[:k], 0.0) for k in range(STEM_LENGTHS.start, min(len(word), STEM_LENGTHS.stop - 1) + 1)), default=0.0)
             kind = INSULT if weight else OTHER
@@ -115,20 +199,35 @@ class Lexicon(dict):
         return out
 
 
+def value(clause: list[tuple[int, float]], machine: Transducer = GRAMMAR) -> float:
+    """The best path's value of a clause's symbols and weights."""
+    active = {machine.first: 0.0}
+    for kind, weight in clause:
+        reached: dict = {}
+        for state, v in active.items():
+            for to, out, factor in machine.arcs(state, kind):
+                w = v + weight * factor if out == HIT else v
+                if w > reached.get(to, -1.0):
+                    reached[to] = w
+        active = reached
+    return max((v for state, v in active.items() if machine.final(state)), default=0.0)
+
+
 def clauses(text: str, lexicon: Lexicon) -> list[float]:
-    """Scores of the clauses in which the grammar matches something."""
+    """Values of the clauses in which the grammar matches something."""
     low = text.lower()
-    if not any(lexicon[w][0] in (INSULT, THREAT) for w in set(_WORD.findall(low))):
+    if not any(lexicon[w][1] for w in set(_WORD.findall(low))):
         return []
-    out, total, state, step = [], 0.0, 0, GRAMMAR.step
+    out, clause = [], []
     for token in _TOKEN.findall(low):
-        kind, weight = lexicon[token]
-        state, factor, more = step[state][kind]
-        total += factor * weight + more
-        if kind == END and total:
-            out.append(total)
-            total = 0.0
-    return out + [total] if total else out
+        symbol = lexicon[token]
+        if symbol[0] != END or 0 < len(clause) < LEAST_WORDS:
+            clause += [symbol] if symbol[0] != END else []
+            continue
+        if any(weight for _, weight in clause) and (v := value(clause)):
+            out.append(v)
+        clause = []
+    return [*out, v] if any(weight for _, weight in clause) and (v := value(clause)) else out
 
 
 class Model:
@@ -211,7 +310,7 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_cl
     gain = 2 * (a * F.log(F.greatest(a, F.lit(1e-9)) / ((a + b) * share)) + F.when(b > 0, b * F.log(F.greatest(b, F.lit(1e-9)) / ((a + b) * (1 - share)))).otherwise(0.0))
     odds = F.log((a + 0.5) / (n1 + 1.0) / ((b + 0.5) / (n0 + 1.0)))
     stems = counts.where(often & ~F.col("stem").startswith("=")).withColumn("gain", gain).withColumn("odds", odds)
-    stems = stems.where((F.col("gain") > 2 * math.log(tried) + 4) & (F.col("odds") > 2.0)).orderBy(F.desc("gain"), "stem").limit(MAX_STEMS)
+    stems = stems.where((F.col("gain") > 2 * math.log(tried) + 4) & (F.col("odds") > 2.0))
     found = {r.stem: r for r in stems.collect()}
     # Where one longer stem stands for nearly all texts of a shorter one, the longer one is meant.
     meant: set[str] = {s[:-1] for s, r in found.items() if s[:-1] in found and r.toxic >= 0.95 * found[s[:-1]].toxic}

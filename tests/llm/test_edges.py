@@ -58,21 +58,50 @@ def test_training_without_labels(spark, docs, nothing):
     assert len(empty) == 1 and empty[0].score < 0.5
 
 
+def total(text):
+    return sum(toxicity.clauses(text, toxicity.Model().lexicon()))
+
+
 def test_toxicity_grammar():
     m = toxicity.Model()
     score = lambda t: m.score(toxicity.clauses(t, m.lexicon()))
-    plain, aimed = score("idiot"), score("you are an idiot")
-    assert aimed > plain > score("a calm word") == score("")
-    assert score("you are not an idiot") < aimed and score("he said you are an idiot") < aimed
-    assert score("i will kill you") > score("i will kill time")
+    assert score("idiot") == score("Idiot!") == score("a calm word") == score("kill") == score("") < 0.5
+    assert score("you are an idiot") > score("the idiot") > score("idiot")
+    assert score("you are not an idiot") < score("you are an idiot") > score("he said you are an idiot")
+    assert score("i will kill you") > score("i will kill time") == score("")
+    assert score("You! Idiot!") > score("idiot")
 
 
-def test_toxicity_of_negated_and_reported_threats():
-    total = lambda t: sum(toxicity.clauses(t, toxicity.Model().lexicon()))
-    bare = total("he would hurt you")
-    assert bare == 2.5 and total("he would never hurt you") == pytest.approx(0.4 * bare)
+def test_toxicity_of_negated_and_reported_clauses():
+    bare, word = total("he would hurt you"), toxicity.seed_weight(0, 0)
+    assert bare == toxicity.THREAT_WEIGHT and total("he would never hurt you") == pytest.approx(0.4 * bare)
     assert total("then someone said hurt you") == pytest.approx(0.6 * bare) and total("he said he would never hurt you") == pytest.approx(0.24 * bare)
-    assert total("you are an idiot") == pytest.approx(1.25 * total("idiot"))
+    assert total("you are an idiot") == pytest.approx(1.25 * total("the idiot")) == pytest.approx(1.25 * word)
+    assert total("idiot grammar") == pytest.approx(0.5 * word) and total("idiot, loser") == pytest.approx(2.1 * word)
+    assert total("that one is not an idiot") == pytest.approx(0.4 * word) and total('someone: "the idiot" there') == pytest.approx(0.6 * word)
+    assert total("hurt you, you idiot") == pytest.approx(bare + 1.25 * 1.25 * word)
+
+
+def paths(machine, symbols):
+    """Everything that a transducer may write for a sequence of symbols, with the factors."""
+    open_ = [(machine.first, (), ())]
+    for x in symbols:
+        open_ = [(to, (*written, out), (*factors, f)) for state, written, factors in open_ for to, out, f in machine.arcs(state, x)]
+    return [(written, factors) for state, written, factors in open_ if machine.final(state)]
+
+
+def test_toxicity_composition_is_its_transducers_one_by_one():
+    """The composed machine's best path is the best of all ways to send a clause through the five, each written out in full."""
+    rng = np.random.default_rng(2)
+    symbols = range(toxicity.END)
+    odds = np.array([2, 4, 1, 1, 2, 1, 1, 1]) / 13
+    for _ in range(400):
+        clause = [(int(x), float(rng.integers(1, 9)) if x in (toxicity.INSULT, toxicity.THREAT) else 0.0) for x in rng.choice(symbols, int(rng.integers(0, 8)), p=odds)]
+        ways = [(tuple(x for x, _ in clause), (1.0,) * len(clause))]
+        for make in toxicity.CASCADE:
+            ways = [(out, tuple(f * g for f, g in zip(factors, more, strict=True))) for written, factors in ways for out, more in paths(make(), written)]
+        best = max(sum(w * f for x, f, (_, w) in zip(out, factors, clause, strict=True) if x == toxicity.HIT) for out, factors in ways)
+        assert toxicity.value(clause) == pytest.approx(best), clause
 
 
 RNG = np.random.default_rng(11)
