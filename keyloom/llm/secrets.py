@@ -1,23 +1,25 @@
 """Secret scans with a random forest for false-positive removal; DataFrame functions only.
 
-Candidates are found by one pattern: keys with known beginnings, private key blocks up to their END line, signed tokens, values
-of 6 or more characters assigned to names with words such as `password` or `api_key` in them, and any run of 16 or more token
-characters with a digit that isn't a name itself. Cutting the text at the
-pattern gives what stands between candidates, hence each one's place and neighbours, without leaving the JVM.
+Candidates are found by one pattern, tried once at each run of token characters: keys with known beginnings, private key blocks up to
+their END line, signed tokens, values of 6 or more characters assigned to names with words such as `password` or `api_key` in them,
+and any run of 16 or more token characters with a digit that isn't a name itself. Texts without a candidate are passed over first;
+cutting the others at the pattern gives what stands between candidates, hence each one's place and neighbours, without leaving the JVM.
 
 Features of a candidate (`FEATURES`): its length and kinds of characters, character transitions (changes of kind, common
 letter pairs, distinct characters), dictionary coverage (share of its characters in common words), path signs
 (slashes, URL or file before it), and neighbouring words (secret words, an assignment, quotation marks; words of examples,
-digests, identifiers). The forest is trained from labelled findings, `labelled_findings`: by default a table
-of made-up findings, generated in Spark by hashing row numbers, half of their kinds real secrets. Trained trees
-become nested CASE expressions; a candidate's probability is the mean of its trees' leaves.
+digests, identifiers). The forest is trained from labelled findings, `labelled_findings`: by default those lines of
+`labelled_findings.py`, labelled by hand, that are for training, and a table of made-up ones, generated in Spark by hashing row
+numbers; the other lines are for measuring. Trained trees become nested CASE expressions; a candidate's probability is the
+mean of its trees' leaves.
 
 A finding is reported if the probability is `THRESHOLD` or more. `redact` replaces reported values in their places
 with `[SECRET:kind]` and leaves every document in.
 
 Defined cases: null and empty texts have no findings (and null stays null when redacting); a value that occurs twice is two
-findings; repeated rows are scanned each by itself; a table without text gives no findings; other columns are not read, and
-stay when redacting, whatever their names.
+findings; of candidates that overlap the one that begins first counts, and at one place a name's value before a known kind before a
+token; repeated rows are scanned each by itself; a table without text gives no findings; other columns are not read, and stay when
+redacting, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,24 +29,30 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import common
+from .labelled_findings import LINES
+
 THRESHOLD, TREES, DEPTH, FINDINGS = 0.5, 24, 8, 6_000
 NEAR = 48
+#: What a finding labelled by hand weighs against a made-up one.
+BY_HAND = 10.0
 #: Names whose value is a candidate, whatever stands before them (DB_PASSWORD), and what may follow in the name (access_key_id).
-_REST = r"(?:[_-][A-Za-z0-9]{1,20}){0,3}+[\"']?[ \t]{0,3}[:=][ \t]{0,3}[\"']?"
+_REST = r"(?:[_-][A-Za-z0-9]++)*+[\"']?[ \t]{0,3}[:=][ \t]{0,3}[\"']?"
 PASSWORD = r"(?i:passw(?:or)?d|passwd|pwd)" + _REST + r"[^\s\"',;]{6,}+"
 NAMED = r"(?i:secret|token|credentials?|(?:api|access|auth|private|signing)[_-]?key)" + _REST + r"[A-Za-z0-9+/_.~=-]{6,}+"
-#: What a token may not be: a name before a value.
-_NAME = rf"(?![A-Za-z0-9_-]{{0,60}}?(?:{PASSWORD}|{NAMED}))"
+_T = "[A-Za-z0-9+/_-]"
+#: A run with an assignment after it, and a name within.
+ASSIGNED = rf"(?={_T}{{3,}}+[\"']?[ \t]{{0,3}}[:=]){_T}*?(?:{PASSWORD}|{NAMED})"
 KINDS = {
-    "private_key": r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[\s\S]*?-----END [A-Z ]{0,40}PRIVATE KEY-----",
+    "private_key": r"-----BEGIN [A-Z ]*+(?<=PRIVATE KEY)-----[\s\S]*?-----END [A-Z ]*+(?<=PRIVATE KEY)-----",
     "signed_token": r"eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+",
     "cloud_key": r"(?:AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Z])",
     "service_key": r"(?:gh[pousr]_|github_pat_|glpat-|sk-|sk_live_|rk_live_|xox[abprs]-|AIza)[A-Za-z0-9_-]{16,}+",
     "password": PASSWORD,
-    "token": r"(?=[A-Za-z+/_-]{0,64}[0-9])" + _NAME + r"[A-Za-z0-9+/_-]{16,}+(?!=[\"']?[A-Za-z0-9+/_-])={0,2}+",
+    "token": rf"(?={_T}{{16}})(?=[A-Za-z+/_-]*+[0-9]){_T}++(?!=[\"']?{_T})={{0,2}}+",
 }
 _KNOWN = [k for k in KINDS if k not in ("password", "token")]
-PATTERN = r"(?<![A-Za-z0-9+/_-])(?:" + "|".join(KINDS[k] for k in _KNOWN) + f")|{PASSWORD}|{NAMED}|(?<![A-Za-z0-9+/_-]){KINDS['token']}"
+PATTERN = rf"(?<!{_T})(?:{ASSIGNED}|" + "|".join(KINDS[k] for k in [*_KNOWN, "token"]) + ")"
 PAIRS = "th|he|in|er|an|re|on|at|en|nd|ti|es|or|te|of|ed|is|it|al|ar|st|to|nt|ng|se|ha|as|ou|io|le|ve|co|me|de|hi|ri|ro|ic|ne|ea|ra|ce"
 DICTIONARY = (
     "access account action address admin agent alpha android application archive article assets auth author backup banner basic beta block board branch browser buffer build button cache call card center change channel "
@@ -71,8 +79,8 @@ def spots(text: Column) -> Column:
 def value_of(match: Column) -> tuple[Column, Column]:
     """Kind and value of a candidate: a name's value is what is assigned, and of a known kind if it begins like one."""
     assigned = F.regexp_extract(match, r"[:=][ \t]*[\"']?([^\s\"',;]+)$", 1)
-    value = F.when(match.rlike(f"^(?:{PASSWORD}|{NAMED})"), assigned).otherwise(match)
-    kind = F.when(match.rlike("^" + PASSWORD), "password").otherwise(F.lit("token"))
+    value = F.when(match.rlike(f"^{ASSIGNED}$"), assigned).otherwise(match)
+    kind = F.when(match.rlike(f"^{_T}*?{PASSWORD}$"), "password").otherwise(F.lit("token"))
     for name in reversed(_KNOWN):
         kind = F.when(value.rlike("^" + KINDS[name]), name).otherwise(kind)
     return kind, value
@@ -96,7 +104,7 @@ def features(v: Column, kind: Column, before: Column, after: Column) -> dict[str
         "hexadecimal": v.rlike("^[0-9a-fA-F]+$").cast("double"),
         "changes": times("(?<=[a-z])(?![a-z])(?!$)|(?<=[A-Z])(?![A-Z])(?!$)|(?<=[0-9])(?![0-9])(?!$)") / n,
         "pairs": times(f"(?=(?:{PAIRS}))", low) / F.greatest(letters, F.lit(1.0)),
-        "distinct": F.size(F.array_distinct(F.split(F.left(v, F.lit(64)), ""))) / F.least(n, F.lit(64)),
+        "distinct": F.size(F.array_distinct(F.split(v, ""))) / F.least(n, F.lit(64)),
         "dictionary": (n - F.length(F.regexp_replace(low, known, ""))) / n,
         "slashes": times("[/]") / n,
         "in_path": before.rlike(r"(?:https?://|www\.|file:|[\w.]/)\S*$").cast("double"),
@@ -114,7 +122,20 @@ def featured(rows: DataFrame) -> DataFrame:
 
 
 def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
-    """value, kind, before, after, label: made-up findings, all from hashes of row numbers."""
+    """value, kind, before, after, label, weight: made-up findings and those for training of the ones labelled by hand."""
+    return made_up_findings(spark, n).withColumn("weight", F.lit(1.0)).unionByName(by_hand(spark, LINES[::2]).withColumn("weight", F.lit(BY_HAND)))
+
+
+def by_hand(spark: SparkSession, lines: tuple) -> DataFrame:
+    """value, kind, before, after, label of the candidates in lines: 1 if it is the line's secret."""
+    told = F.array(*(F.struct(F.lit(text).alias("text"), F.lit(secret).cast("string").alias("secret")) for text, secret in lines))
+    rows = common.cut(spark.range(1).select(F.explode(told).alias("r")).select("r.*"), "by-hand")
+    rows = candidates(rows).select("doc.secret", F.explode("c").alias("c"))
+    return rows.select("c.value", "c.kind", "c.before", "c.after", F.coalesce(F.col("c.value") == F.col("secret"), F.lit(False)).cast("double").alias("label"))
+
+
+def made_up_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
+    """value, kind, before, after, label: all from hashes of row numbers."""
     i = F.col("id")
 
     def h(salt: str) -> Column:
@@ -153,17 +174,20 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
         (word("w1"), "password", secret_lead, 0), (word("w1"), "token", secret_lead, 0), (F.concat(word("w1"), mark, word("w2")), "token", secret_lead, 0), (F.concat(word("w1"), F.lit("."), word("w2")), "token", secret_lead, 0),
     ]
 
-    chosen = F.pmod(i, F.lit(len(makes)))
+    # All kinds of all rows are written first: choosing among columns is a small plan, choosing among expressions isn't.
+    made = [c for k, (value, _, before, _) in enumerate(makes) for c in (value.alias(f"v{k}"), before.alias(f"b{k}"))]
+    rows = common.cut(spark.range(0, n, 1, 2).select("id", *made, pick("t", ["and", "for", "in the", "next", "."]).alias("next")), "made-up")
 
-    def choose(at: int) -> Column:
+    def choose(options: list[Column]) -> Column:
         out = F.lit(None)
-        for k, row in enumerate(makes):
-            out = F.when(chosen == k, row[at] if isinstance(row[at], Column) else F.lit(row[at])).otherwise(out)
+        for k, c in enumerate(options):
+            out = F.when(i % len(makes) == k, c).otherwise(out)
         return out
 
-    rows = spark.range(0, n, 1, 2).select("id", choose(0).alias("value"), choose(1).alias("kind"), choose(2).alias("before"), choose(3).alias("label"))
-    close = F.when(F.col("before").rlike("[\"']$"), F.right("before", F.lit(1))).otherwise(F.lit(""))
-    return rows.select("value", "kind", F.right("before", F.lit(NEAR)).alias("before"), F.concat(close, F.lit(" "), pick("t", ["and", "for", "in the", "next", "."])).alias("after"), F.col("label").cast("double").alias("label"))
+    of = lambda name: [F.col(f"{name}{k}") for k in range(len(makes))]
+    rows = rows.select(choose(of("v")).alias("value"), choose([F.lit(m[1]) for m in makes]).alias("kind"), choose(of("b")).alias("lead"), "next", choose([F.lit(float(m[3])) for m in makes]).alias("label"))
+    close = F.when(F.col("lead").rlike("[\"']$"), F.right("lead", F.lit(1))).otherwise(F.lit(""))
+    return rows.select("value", "kind", F.right("lead", F.lit(NEAR)).alias("before"), F.concat(close, F.lit(" "), F.col("next")).alias("after"), "label")
 
 
 class Forest:
@@ -191,9 +215,10 @@ _FORESTS: dict[str, Forest] = {}
 
 
 def train(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = 7) -> Forest:
-    """A random forest from labelled findings (value, kind, before, after, label)."""
-    rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(featured(findings))
-    model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="0.5", minInstancesPerNode=3).fit(rows.select("features", "label"))
+    """A random forest from labelled findings (value, kind, before, after, label, weight)."""
+    rows = common.cut(featured(findings).select(*FEATURES, "label", "weight").repartition(2, *FEATURES).sortWithinPartitions(*FEATURES, "label"), "findings")
+    rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows)
+    model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="0.5", minInstancesPerNode=3, weightCol="weight").fit(rows.select("features", "label", "weight"))
 
     def read(node):
         if node.getClass().getSimpleName() == "LeafNode":
@@ -213,24 +238,30 @@ def default_forest(spark: SparkSession) -> Forest:
     return _FORESTS[key]
 
 
-def judged(docs: DataFrame, forest: Forest) -> DataFrame:
-    """doc (the whole row), gaps and, for texts with candidates, `found`: an array of their match, lead (what stands in
-    the match before the value), value, kind, start, features and probability.
+def candidates(docs: DataFrame) -> DataFrame:
+    """doc (the whole row), f (matches and gaps) and c: an array of match, lead (what stands in the match before the value), value,
+    kind, before and after; f and c are null for texts without candidates.
 
-    Candidates stay in their text's row: nothing is shuffled, rows that repeat stay apart, and the trees, applied
-    within an array, don't swell the stage's generated code.
+    Candidates stay in their text's row: nothing is shuffled, and rows that repeat stay apart.
     """
-    rows = docs.select(F.struct("*").alias("doc"), spots(F.col("text")).alias("f"))
+    text = F.col("text")
+    rows = docs.select(F.struct("*").alias("doc"), F.when(text.rlike(PATTERN), spots(text)).alias("f"))
 
     def one(m: Column, i: Column) -> Column:
         kind, value = value_of(m)
         lead = F.left(m, F.length(m) - F.length(value))
         before = F.concat(F.right(F.get("f.gap", i), F.lit(NEAR)), lead)
-        fields = features(value, kind, before, F.left(F.get("f.gap", i + 1), F.lit(NEAR)))
-        return F.struct(m.alias("match"), lead.alias("lead"), value.alias("value"), kind.alias("kind"), *(c.alias(k) for k, c in fields.items()))
+        return F.struct(m.alias("match"), lead.alias("lead"), value.alias("value"), kind.alias("kind"), before.alias("before"), F.left(F.get("f.gap", i + 1), F.lit(NEAR)).alias("after"))
+
+    return rows.withColumn("c", F.transform("f.m", one))
 
-    rows = rows.withColumn("c", F.when(F.size("f.m") > 0, F.transform("f.m", one)))
-    rows = rows.withColumn("p", F.expr(f"transform(c, x -> {forest.sql('x.')})"))
+
+def judged(docs: DataFrame, forest: Forest) -> DataFrame:
+    """candidates() with `p`, their probabilities, and `start`, the places of their values. The trees, applied within an array, don't
+    swell the stage's generated code."""
+    rows = candidates(docs)
+    rows = rows.withColumn("x", F.transform("c", lambda c: F.struct(*(f.alias(k) for k, f in features(c["value"], c["kind"], c["before"], c["after"]).items()))))
+    rows = rows.withColumn("p", F.expr(f"transform(x, x -> {forest.sql('x.')})")).drop("x")
     # Places: running lengths of gaps and matches.
     starts = F.aggregate(
         F.transform("c", lambda c, i: F.struct(F.length(F.get("f.gap", i)).alias("gap"), F.length(c["match"]).alias("match"), F.length(c["lead"]).alias("lead"))),

@@ -1,6 +1,8 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing column names, for each operator and stage."""
 
 import hashlib
+import math
+import re
 
 import numpy as np
 import pytest
@@ -229,6 +231,40 @@ def test_secrets_of_env_files_and_encrypted_keys(spark):
     assert all(v not in r.text for r in secrets.redact(df).collect() if (v := cases[r.doc_id][1]))
 
 
+def test_secrets_of_held_out_findings(spark):
+    """Lines labelled by hand that the forest has not seen, and the assignments planted in documents."""
+    lines = secrets.LINES[1::2]
+    rows = secrets.featured(secrets.by_hand(spark, lines)).withColumn("p", secrets.default_forest(spark).expression()).collect()
+    said, meant = [r for r in rows if r.p >= secrets.THRESHOLD], sum(s is not None for _, s in lines)
+    right = sum(r.label for r in said)
+    assert right / meant >= 0.9 and right / len(said) >= 0.75
+    docs = common.table(spark, "/root/testdata/sf0.01", "documents")
+    planted = {(r.doc_id, m.start(1), m.end(1) - m.start(1)) for r in docs.where("text is not null").collect() for m in re.finditer(r'(?i)token = "([0-9a-f]{40})"', r.text)}
+    assert planted and {(r.doc_id, r.start, r.length) for r in secrets.findings(docs).collect()} == planted
+
+
+def test_secrets_candidates_and_features(spark):
+    """Long names and tokens without limits, overlaps and ties; features against their definition in Python."""
+    far, tail_ = "x" * 300 + "1", "_very_long_suffix_of_a_setting" * 3
+    rows = [(f"see {far} there", [far]), (f"DB_PASSWORD{tail_}=correcthorse", ["correcthorse"]), ("password=ghp_" + "aB3" * 9, ["ghp_" + "aB3" * 9]), ("token=token=abcdefgh1234", ["token=abcdefgh1234"]), ("pwd: abcdef pwd: abcdef", ["abcdef", "abcdef"]), ("-----BEGIN PRIVATE KEY-----", []), ("a" * 40, [])]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    got = {r.i: [c.value for c in r.c or []] for r in secrets.candidates(df).select("doc.doc_id", "c").withColumnRenamed("doc_id", "i").collect()}
+    assert got == {i: want for i, (_, want) in enumerate(rows)}
+    words = sorted(secrets.DICTIONARY, key=lambda w: (-len(w), w))
+    kind = lambda ch: "a" if ch.islower() else "A" if ch.isupper() else "0" if ch.isdigit() else "."
+    for r in secrets.featured(secrets.by_hand(spark, secrets.LINES)).collect():
+        v, n = r.value, len(r.value)
+        letters = sum(ch.isalpha() for ch in v)
+        pairs = set(secrets.PAIRS.split("|"))
+        want = {
+            "length": math.log1p(n), "letters": letters / n, "capitals": sum(map(str.isupper, v)) / n, "digits": sum(map(str.isdigit, v)) / n, "signs": sum(not ch.isalnum() for ch in v) / n, "hexadecimal": float(all(ch in "0123456789abcdefABCDEF" for ch in v)),
+            "changes": sum(kind(x) != kind(y) and kind(x) != "." for x, y in zip(v, v[1:], strict=False)) / n, "pairs": sum(v[i : i + 2].lower() in pairs for i in range(n)) / max(letters, 1),
+            "distinct": len(set(v)) / min(n, 64), "dictionary": (n - len(re.sub("|".join(words), "", v.lower()))) / n, "slashes": v.count("/") / n, "known": float(r.kind != "token"),
+        }
+        for name, x in want.items():
+            assert r[name] == pytest.approx(x), (v, name)
+
+
 def test_secrets_plan_is_native(docs):
     for df in (secrets.findings(docs), secrets.redact(docs), mixing.mix(docs), mixing.mix_documents(docs)):
         assert not any(x in df._jdf.queryExecution().executedPlan().toString() for x in ("Python", "Arrow", "Pandas"))
