@@ -15,9 +15,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that one Arrow batch may hold. Whole texts are wide, so batches are kept short.
+#: Rows that are worked on at once. Whole texts are wide, so that is few; Spark bounds its own batches by bytes.
 BATCH_ROWS = 512
 _SHIPPED: weakref.WeakSet = weakref.WeakSet()
+_TO_DELETE: weakref.WeakSet = weakref.WeakSet()
+#: Paths of tables written within the scopes that are open, innermost last.
+_SCOPES: list[list[str]] = []
+_PATHS: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -27,10 +31,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors and keep Arrow batches short; once per SparkContext."""
+    """Send this package to the executors; once per SparkContext."""
     sc = spark.sparkContext
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     if sc in _SHIPPED:
         return
     top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -44,14 +46,31 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(sc)
 
 
+def _delete(spark: SparkSession, path: str, at_end: bool = False) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.deleteOnExit(p) if at_end else fs.delete(p, True)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    set_to = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder of this application in the one that all executors share (spark.checkpoint.dir); deleted when the driver ends.
+
+    Where that is unset, a temporary folder serves in local mode; on a cluster, whose executors would not see each other's, it is
+    an error.
+    """
+    sc = spark.sparkContext
+    set_to = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not set_to:
-        set_to = "/tmp/checkpoints/keyloom"
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(set_to)
-    return f"{set_to.rstrip('/')}/keyloom-{spark.sparkContext.applicationId}"
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        set_to = os.path.join(tempfile.gettempdir(), "checkpoints", "keyloom")
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(set_to)
+    path = f"{set_to.rstrip('/')}/keyloom-{sc.applicationId}"
+    if sc not in _TO_DELETE:
+        _delete(spark, path, at_end=True)
+        _TO_DELETE.add(sc)
+    return path
 
 
 def cut(df: DataFrame, what: str) -> DataFrame:
@@ -59,19 +78,51 @@ def cut(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the table that cut() returned as `df`, if it did."""
+    if path := _PATHS.pop(df, None):
+        _delete(df.sparkSession, path)
 
 
-def clean(spark: SparkSession) -> None:
-    """Delete what cut() has written in this application."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+class scope:
+    """Tables that cut() writes within are deleted when it is left; keep() writes one that stays."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+
+    def __enter__(self) -> scope:
+        self.own: list[str] = []
+        _SCOPES.append(self.own)
+        return self
+
+    def keep(self, df: DataFrame, what: str) -> DataFrame:
+        _SCOPES.pop()
+        try:
+            return cut(df, what)
+        finally:
+            _SCOPES.append(self.own)
+
+    def __exit__(self, *_) -> None:
+        _SCOPES.pop()
+        for path in self.own:
+            _delete(self.spark, path)
 
 
 def map_rows(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """mapInArrow, with batches of BATCH_ROWS rows at most."""
     ship(df.sparkSession)
-    return df.mapInArrow(f, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return f(b.slice(at, BATCH_ROWS) for b in batches for at in range(0, len(b), BATCH_ROWS))
+
+    return df.mapInArrow(run, schema)
 
 
 def documents(df: DataFrame) -> DataFrame:

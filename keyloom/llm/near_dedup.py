@@ -3,7 +3,7 @@
 A document's set is its distinct shingles of k words (A-Z lower-cased); with fewer words the whole sequence is the
 one member. Two documents are linked if their sets' Jaccard similarity is `percent` or more; a group is what links connect.
 
-1. Each set gets `SIZE` minwise tokens and a digest. Documents with the same set are one class (exact copies).
+1. Each set gets `SIZE` minwise tokens. Documents with the same lower-cased words, by SHA-256, are one class (exact copies).
 2. `TREES` trees branch documents by selected minwise tokens: a node is reached by agreeing in one token after another,
    the tokens of each step chosen by the tree. Branching begins `FIRST` tokens deep. Nodes of one class end there.
 3. In the first `PIVOT_TREES` trees, each node's members are compared with its least id alone: linear, whatever the
@@ -36,6 +36,7 @@ rows of an id share the group (its least member); an empty table gives no rows;
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -58,17 +59,19 @@ AGREE = 77
 BROADCAST_IDS = 2_000_000
 #: Rounds of central members, and how many are drawn in a node to find one.
 ROUNDS, DRAWN = 2, 32
+#: Rows from which on a key is hot.
+HOT = 1_000
 #: Sets that a task holds while others are compared with them.
 BLOCK = 512
 
 
-def shingles(text: str, k: int, ids: common.WordIds) -> np.ndarray:
+def shingles(words: list[bytes], k: int, ids: common.WordIds) -> np.ndarray:
     """Distinct 64-bit hashes of the shingles, sorted."""
-    words = ids.array(text.encode("utf-8", "replace").lower().split())
-    if not len(words):
+    if not words:
         return np.empty(0, np.uint64)
-    h = common.windows(words, k)
-    return np.unique(h) if len(h) else common.mixed(np.array([len(words)], np.uint64) + common.windows(words, len(words)))
+    of = ids.array(words)
+    h = common.windows(of, k)
+    return np.unique(h) if len(h) else common.mixed(np.array([len(words)], np.uint64) + common.windows(of, len(words)))
 
 
 def shingle_set(text: str, k: int) -> frozenset:
@@ -92,24 +95,25 @@ def signature(h: np.ndarray) -> np.ndarray:
     return out
 
 
-SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.int64()), ("set_id2", pa.int64()), ("tokens", pa.binary())])
+SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("words_id", pa.binary()), ("tokens", pa.binary())])
 
 
 def signed(docs: DataFrame, k: int) -> DataFrame:
+    """doc_id, n_shingles, words_id (SHA-256 of the lower-cased words, null if there are none), tokens."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = common.WordIds()
         for b in batches:
-            n, one, two, tokens = [], [], [], []
+            n, words_id, tokens = [], [], []
             for text in b.column(1):
-                h = shingles(text.as_py(), k, ids)
+                words = text.as_py().encode("utf-8", "replace").lower().split()
+                h = shingles(words, k, ids)
                 n.append(len(h))
-                one.append(int(np.bitwise_xor.reduce(h)) if len(h) else 0)
-                two.append(int(common.mixed(h + np.uint64(77)).sum(dtype=np.uint64)) if len(h) else 0)
+                words_id.append(hashlib.sha256(b" ".join(words)).digest() if words else None)
                 tokens.append(signature(h).tobytes() if len(h) else None)
-            ids_ = [pa.array(np.array(x, np.uint64).astype(np.int64)) for x in (one, two)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), *ids_, pa.array(tokens, pa.binary())], schema=SIGNED)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(words_id, pa.binary()), pa.array(tokens, pa.binary())], schema=SIGNED)
 
-    return common.map_rows(common.documents(docs), run, "doc_id long, n_shingles long, set_id long, set_id2 long, tokens binary")
+    return common.map_rows(common.documents(docs), run, "doc_id long, n_shingles long, words_id binary, tokens binary")
 
 
 def chained(tokens: np.ndarray, trees: range, depth: int) -> np.ndarray:
@@ -177,9 +181,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
 
     pairs = common.cut(pairs, "pairs")
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    wanted = common.cut(wanted, "wanted")
-    if wanted.count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
+    wanted = few(common.cut(wanted, "wanted"))
     texts = texts.join(wanted, "id", "left_semi")
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
@@ -202,17 +204,37 @@ def components(links: DataFrame) -> DataFrame:
             return label
 
 
+def few(df: DataFrame) -> DataFrame:
+    """df, a table of ids written before, to be broadcast if it has BROADCAST_IDS rows at most; either way, joins give the same rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+
+
+def beside(rows: DataFrame, facts: DataFrame, key: list[str]) -> DataFrame:
+    """rows joined with facts, which hold one row a key and `n`, the rows of that key.
+
+    Keys with many rows (HOT at least, and so many that there are a million of them at most) are few: their facts are sent to the
+    rows, which stay where they are. The others are joined by shuffle. So no key's rows meet in one task.
+    """
+    facts = common.cut(facts, "facts")
+    total = facts.agg(F.sum("n")).first()[0] or 0
+    hot = facts.where(F.col("n") >= max(HOT, total // 1_000_000))
+    if not hot.limit(1).count():
+        return rows.join(facts, key)
+    cold = facts.where(F.col("n") < max(HOT, total // 1_000_000))
+    return rows.join(F.broadcast(hot), key).unionByName(rows.join(F.broadcast(hot.select(*key)), key, "left_anti").join(cold, key))
+
+
 def pivot_pairs(classes: DataFrame) -> DataFrame:
     """Each member of a node of the first trees with the node's least id: (a, b), a > b."""
     at = nodes(classes, PIVOT_TREES, FIRST)
-    least = at.groupBy("node").agg(F.min("id").alias("b"), F.max("id").alias("top")).where("b < top")
-    return at.join(least, "node").where("id > b").select(F.col("id").alias("a"), "b").distinct()
+    least = at.groupBy("node").agg(F.min("id").alias("b"), F.max("id").alias("top"), F.count("*").alias("n")).where("b < top")
+    return beside(at, least, ["node"]).where("id > b").select(F.col("id").alias("a"), "b").distinct()
 
 
 def still_mixed(rows: DataFrame) -> DataFrame:
     """node, tree, id, group, n: the rows of nodes that hold more than one group; n: members of the node."""
     size = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("group").alias("low"), F.max("group").alias("high")).where("low < high")
-    return common.cut(rows.join(size.select("node", "n"), "node").select("node", "tree", "id", "group", "n"), "mixed")
+    return common.cut(beside(rows, size.select("node", "n"), ["node"]).select("node", "tree", "id", "group", "n"), "mixed")
 
 
 def central_pairs(rows: DataFrame, classes: DataFrame, turn: int) -> DataFrame:
@@ -232,9 +254,9 @@ def central_pairs(rows: DataFrame, classes: DataFrame, turn: int) -> DataFrame:
     drawn = rows.select("node", "id").withColumn("k", F.row_number().over(draw)).where(F.col("k") <= DRAWN).select("node", "id")
     drawn = drawn.join(classes.select("id", "tokens"), "id").groupBy("node").agg(F.collect_list(F.struct("id", "tokens")).alias("m"))
     pivots = common.map_rows(drawn, run, "node long, pivot long")
-    at = rows.select("node", "id", "group").join(pivots, "node")
-    theirs = rows.select("node", F.col("id").alias("pivot"), F.col("group").alias("g"))
-    at = at.join(pivots.join(theirs, ["node", "pivot"]), ["node", "pivot"]).where(F.col("group") != F.col("g"))
+    sizes = rows.groupBy("node").agg(F.first("n").alias("n"))
+    of = classes.select(F.col("id").alias("pivot"), F.col("group").alias("g"))
+    at = beside(rows.select("node", "id", "group"), pivots.join(of, "pivot").join(sizes, "node"), ["node"]).where(F.col("group") != F.col("g"))
     return at.select(F.greatest("id", "pivot").alias("a"), F.least("id", "pivot").alias("b")).distinct()
 
 
@@ -257,7 +279,7 @@ def open_links(classes: DataFrame, texts: DataFrame, k: int, percent: int) -> Da
         ends = links.join(of.select(F.col("id").alias("a"), F.col("group").alias("x")), "a").join(of.select(F.col("id").alias("b"), F.col("group").alias("y")), "b")
         ends = ends.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).where("a > b")
         # Groups that links join, each with its new least id: few, beside the rows of nodes.
-        merged = components(ends).select(F.col("id").alias("group"), F.col("group").alias("joined"))
+        merged = few(components(ends).select(F.col("id").alias("group"), F.col("group").alias("joined")))
         classes = common.cut(classes.join(merged, "group", "left").withColumn("group", F.coalesce("joined", "group")).drop("joined"), "grouped")
         at = large.join(merged, "group", "left").select("node", "tree", "id", F.coalesce("joined", "group").alias("group"))
 
@@ -270,10 +292,10 @@ def open_links(classes: DataFrame, texts: DataFrame, k: int, percent: int) -> Da
             break
         main = main_groups(large)
         if depth == LAST:
-            rest.append(large.join(main.select("node", "main"), "node"))
+            rest.append(beside(large, main.select("node", "main", "n"), ["node"]).drop("n"))
         else:
-            rest.append(large.join(main.where("4 * m >= 3 * n").select("node", "main"), "node"))
-            on = large.join(main.where("4 * m < 3 * n").select("node"), "node", "left_semi").select("id").distinct()
+            rest.append(beside(large, main.where("4 * m >= 3 * n").select("node", "main", "n"), ["node"]).drop("n"))
+            on = beside(large, main.where("4 * m < 3 * n").select("node", "n"), ["node"]).select("id").distinct()
             at = nodes(common.cut(classes.join(on, "id", "left_semi"), "deeper"), LEVELS[depth + 2], depth + 2)
     out = pairs[0]
     for x in pairs[1:]:
@@ -341,7 +363,7 @@ def rest_pairs(rows: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = common.WordIds()
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t.as_py(), k, ids).tobytes() for t in b.column(1)], pa.binary())], schema=hashed)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t.as_py().encode("utf-8", "replace").lower().split(), k, ids).tobytes() for t in b.column(1)], pa.binary())], schema=hashed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, ids, own, held = None, [], [], None
@@ -364,12 +386,11 @@ def rest_pairs(rows: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
             yield common.batch(schema, [x, y])
 
     each = common.cut(rows.groupBy("main", "id").agg(F.max(F.col("group") != F.col("main")).alias("apart")), "rest")
-    blocks = each.groupBy("main").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    each = each.join(blocks, "main")
+    blocks = each.groupBy("main").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("n"))
+    each = beside(each, blocks, ["main"])
     stay = each.select("main", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("visits"), "id")
     visit = each.where("apart").select("main", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("visits"), "id")
-    wanted = common.cut(each.select("id").distinct(), "wanted")
-    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+    wanted = few(common.cut(each.select("id").distinct(), "wanted"))
     known = common.cut(common.map_rows(texts.join(wanted, "id", "left_semi").select("id", "text").dropDuplicates(["id"]), sets, "id long, set binary"), "sets")
     dealt = stay.union(visit).join(known, "id").select("main", "block", "visits", "id", "set")
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -379,11 +400,16 @@ def rest_pairs(rows: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of docs."""
+    with common.scope(docs.sparkSession) as s:
+        return s.keep(_near_duplicates(docs, k, percent), "groups")
+
+
+def _near_duplicates(docs: DataFrame, k: int, percent: int) -> DataFrame:
     rows = common.cut(signed(docs, k), "signed")
     whole = rows.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
-    key = ["set_id", "set_id2", "n_shingles"]
-    classes = common.cut(whole.groupBy(*key).agg(F.min("doc_id").alias("id"), F.min("tokens").alias("tokens")), "classes")
-    member = common.cut(whole.select("doc_id", *key).distinct().join(classes.select("id", *key), key).select("doc_id", "id"), "member")
+    classes = common.cut(whole.groupBy("words_id").agg(F.min("doc_id").alias("id"), F.min("tokens").alias("tokens"), F.min("n_shingles").alias("n_shingles"), F.count("*").alias("n")), "classes")
+    member = common.cut(beside(whole.select("doc_id", "words_id").distinct(), classes.select("words_id", "id", "n"), ["words_id"]).select("doc_id", "id"), "member")
+    classes = classes.select("id", "tokens", "n_shingles")
     # An id with several texts ties their classes together.
     several = member.groupBy("doc_id").agg(F.min("id").alias("b"), F.max("id").alias("top")).where("b < top").select("doc_id", "b")
     ties = member.join(several, "doc_id").where("id > b").select(F.col("id").alias("a"), "b")
@@ -405,12 +431,13 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
     Ids that go, and those that repeat, are broadcast while they are few (BROADCAST_IDS), else joined by shuffle.
     """
-    found = near_duplicates(docs, k, percent)
-    per = found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("n"), F.min("component_id").alias("component_id"))
-    per = common.cut(per.where((F.col("n") > 1) | (F.col("doc_id") != F.col("component_id"))).select(F.col("doc_id").alias("_id"), (F.col("doc_id") == F.col("component_id")).alias("_stays")), "decided")
-    few = F.broadcast if per.count() <= BROADCAST_IDS else lambda x: x
+    with common.scope(docs.sparkSession) as s:
+        found = near_duplicates(docs, k, percent)
+        per = found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("n"), F.min("component_id").alias("component_id"))
+        per = s.keep(per.where((F.col("n") > 1) | (F.col("doc_id") != F.col("component_id"))).select(F.col("doc_id").alias("_id"), (F.col("doc_id") == F.col("component_id")).alias("_stays")), "decided")
+    send = F.broadcast if per.count() <= BROADCAST_IDS else lambda x: x
     gone = per.select("_id")
-    single = docs.join(few(gone), docs["doc_id"] == gone["_id"], "left_anti")  # docs may have an _id of its own
-    repeated = docs.select(F.struct("*").alias("doc")).join(few(per.where("_stays").select("_id")), F.col("doc.doc_id") == F.col("_id"), "left_semi")
+    single = docs.join(send(gone), docs["doc_id"] == gone["_id"], "left_anti")  # docs may have an _id of its own
+    repeated = docs.select(F.struct("*").alias("doc")).join(send(per.where("_stays").select("_id")), F.col("doc.doc_id") == F.col("_id"), "left_semi")
     order = F.struct(F.coalesce(F.col("doc.text"), F.lit("")))
     return single.unionByName(repeated.groupBy("doc.doc_id").agg(F.min_by("doc", order).alias("doc")).select("doc.*"))

@@ -234,7 +234,8 @@ def default_forest(spark: SparkSession) -> Forest:
     """The forest of the made-up findings, trained once in an application."""
     key = spark.sparkContext.applicationId
     if key not in _FORESTS:
-        _FORESTS[key] = train(labelled_findings(spark))
+        with common.scope(spark):
+            _FORESTS[key] = train(labelled_findings(spark))
     return _FORESTS[key]
 
 

@@ -283,6 +283,11 @@ def sample(docs: DataFrame, labels: DataFrame, max_toxic: int, max_clean: int) -
 
 
 def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> Model:
+    with common.scope(docs.sparkSession):
+        return _train(docs, labels, max_toxic, max_clean)
+
+
+def _train(docs: DataFrame, labels: DataFrame, max_toxic: int, max_clean: int) -> Model:
     rows = common.cut(sample(docs, labels, max_toxic, max_clean), "toxic-sample")
     totals = {r.label: r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n1, n0 = totals.get(1, 0), totals.get(0, 0)
@@ -361,5 +366,4 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFra
         for b in batches:
             yield b.filter(pa.array([model.score(clauses(t.as_py() or "", lexicon)) < threshold for t in b.column(at)], pa.bool_()))
 
-    common.ship(docs.sparkSession)
-    return docs.mapInArrow(run, docs.schema)
+    return common.map_rows(docs, run, docs.schema)

@@ -193,6 +193,35 @@ def test_prefix_hashes():
     assert a.common_prefix(b, 3, 2) == 6 and a.common_prefix(a, 0, 3) == 5 and a.common_prefix(b) == 0
 
 
+def test_hot_keys_stay_where_they_are(spark, monkeypatch):
+    """Facts of hot keys are sent to the rows, others joined by shuffle; the rows are those of a plain join, repeated ones too."""
+    rows = spark.range(5000).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id") % 400).alias("node"), (F.col("id") % 1000).alias("x"))
+    facts = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("x").alias("least")).where("node % 7 <> 0")
+    for hot in (1, 1000, 10**6):
+        monkeypatch.setattr(near_dedup, "HOT", hot)
+        got = near_dedup.beside(rows, facts, ["node"]).select("node", "x", "n", "least")
+        assert sorted(got.collect()) == sorted(rows.join(facts, "node").select("node", "x", "n", "least").collect())
+
+
+def test_tables_of_a_scope_are_deleted(spark):
+    import os
+
+    with pytest.raises(ZeroDivisionError), common.scope(spark):
+        gone = common.cut(spark.range(3), "gone")
+        1 / 0  # noqa: B018
+    with common.scope(spark):
+        with common.scope(spark) as s:
+            inner, kept = common.cut(spark.range(3), "inner"), s.keep(spark.range(4), "kept")
+        assert kept.count() == 4
+        paths = [common._PATHS[x] for x in (gone, inner, kept)]
+        assert [os.path.exists(p) for p in paths] == [False, False, True]
+    assert not os.path.exists(paths[2])
+    left = common.cut(spark.range(5), "left")
+    common.discard(left)
+    common.discard(spark.range(2))
+    assert not common._SCOPES and left not in common._PATHS
+
+
 def test_near_dedup_keeps_one_and_all_columns(docs):
     out = near_dedup.one_of_each(docs)
     assert out.columns == docs.columns
