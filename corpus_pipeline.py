@@ -2,7 +2,13 @@
 
 toxicity drops documents that score as toxic; near-dedup keeps one document of each group; secret scans replace found
 secrets in texts; mixing repeats and drops documents by their sources' target weights and puts them in training order;
-BPE returns each document's token ids with its place in training order, and sorted by that.
+BPE returns each document's token ids with its place in training order, and sorted by that. A stage's table is deleted once the next
+one is written.
+
+Defined cases: null text is empty: it is kept as not toxic, linked with nothing, unchanged, and has no words, so that the mix leaves it
+out; rows with a null doc_id are documents of their own; rows that repeat a doc_id, or whose texts tie, count as one document,
+of which the least id, then the least text stays; an empty table gives no rows; other columns stay up to the last stage, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -52,7 +58,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = common.cut(stage(spark, docs, sf_dir), f"stage-{name}")
+        before = docs
+        with common.scope(spark) as s:
+            docs = s.keep(stage(spark, before, sf_dir), f"stage-{name}")
+        common.discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
