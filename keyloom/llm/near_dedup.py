@@ -15,8 +15,8 @@ one member. Two documents are linked if their sets' Jaccard similarity is `perce
    Small nodes compare all pairs of different groups. The members of larger ones, unless one group has three quarters of
    them, go on to deeper trees, up to `LAST` tokens, which are more (`LEVELS`) as a pair meets less often there.
    What nodes with such a group, and those still large at the end, hold outside their main group
-   is compared with all that they hold, once for all nodes of that group, in blocks of some `BLOCK` sets and without
-   making a row for each pair: an exact way for the rest, and nothing is capped.
+   is compared with all of that group and all else outside it, once for all nodes of the group, in blocks of some `BLOCK` sets and
+   without making a row for each pair: an exact way for the rest, and nothing is capped.
 5. A pair is compared by its minwise tokens first (dropped if they agree so little that a similar pair would do so less
    than once in 10^7), then by its sets of shingles in full, from the texts.
 6. Groups come from alternating minimum propagation and pointer jumping over the links, in tables in the shared folder.
@@ -59,8 +59,8 @@ AGREE = 77
 BROADCAST_IDS = 2_000_000
 #: Rounds of central members, and how many are drawn in a node to find one.
 ROUNDS, DRAWN = 2, 32
-#: Rows from which on a key is hot.
-HOT = 1_000
+#: Rows from which on a key is hot, and keys whose facts are broadcast in any case (some 20 MB).
+HOT, BROADCAST_FACTS = 1_000, 500_000
 #: Sets that a task holds while others are compared with them.
 BLOCK = 512
 
@@ -212,11 +212,13 @@ def few(df: DataFrame) -> DataFrame:
 def beside(rows: DataFrame, facts: DataFrame, key: list[str]) -> DataFrame:
     """rows joined with facts, which hold one row a key and `n`, the rows of that key.
 
-    Keys with many rows (HOT at least, and so many that there are a million of them at most) are few: their facts are sent to the
-    rows, which stay where they are. The others are joined by shuffle. So no key's rows meet in one task.
+    Facts of BROADCAST_FACTS keys at most are sent to the rows. Beyond that, so are those of keys with many rows: HOT at least, and so
+    many that there are a million of them at most. The others are joined by shuffle. So no key's rows meet in one task.
     """
     facts = common.cut(facts, "facts")
-    total = facts.agg(F.sum("n")).first()[0] or 0
+    keys, total = facts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    if keys <= BROADCAST_FACTS:
+        return rows.join(F.broadcast(facts), key)
     hot = facts.where(F.col("n") >= max(HOT, total // 1_000_000))
     if not hot.limit(1).count():
         return rows.join(facts, key)
@@ -231,10 +233,11 @@ def pivot_pairs(classes: DataFrame) -> DataFrame:
     return beside(at, least, ["node"]).where("id > b").select(F.col("id").alias("a"), "b").distinct()
 
 
-def still_mixed(rows: DataFrame) -> DataFrame:
-    """node, tree, id, group, n: the rows of nodes that hold more than one group; n: members of the node."""
-    size = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("group").alias("low"), F.max("group").alias("high")).where("low < high")
-    return common.cut(beside(rows, size.select("node", "n"), ["node"]).select("node", "tree", "id", "group", "n"), "mixed")
+def mixed_nodes(rows: DataFrame) -> DataFrame:
+    """node, main (the group with most of its members), m (so many), n (all members) of the nodes with more than one group."""
+    sizes = rows.groupBy("node", "group").agg(F.count("*").alias("m"))
+    found = sizes.groupBy("node").agg(F.max_by("group", F.struct("m", "group")).alias("main"), F.max("m").alias("m"), F.sum("m").alias("n"), F.count("*").alias("groups"))
+    return found.where("groups > 1").drop("groups")
 
 
 def central_pairs(rows: DataFrame, classes: DataFrame, turn: int) -> DataFrame:
@@ -268,7 +271,7 @@ def open_links(classes: DataFrame, texts: DataFrame, k: int, percent: int) -> Da
 
     found, at = [], nodes(classes, PIVOT_TREES, FIRST)
     for turn in range(ROUNDS):
-        large = still_mixed(at).where(F.col("n") > SMALL)
+        large = common.cut(beside(at, mixed_nodes(at).where(F.col("n") > SMALL).select("node", "n"), ["node"]), "mixed")
         if not large.limit(1).count():
             break
         links = linked(central_pairs(large, classes, turn))
@@ -283,29 +286,28 @@ def open_links(classes: DataFrame, texts: DataFrame, k: int, percent: int) -> Da
         classes = common.cut(classes.join(merged, "group", "left").withColumn("group", F.coalesce("joined", "group")).drop("joined"), "grouped")
         at = large.join(merged, "group", "left").select("node", "tree", "id", F.coalesce("joined", "group").alias("group"))
 
-    pairs, rest, at = [], [], nodes(classes, TREES, FIRST)
+    pairs, apart, at = [], [], nodes(classes, TREES, FIRST)
+    few_of_main = F.col("group") != F.col("main")
     for depth in LEVELS:
-        mixed = still_mixed(at)
-        pairs.append(all_pairs(mixed.where(F.col("n") <= SMALL)))
-        large = mixed.where(F.col("n") > SMALL).select("node", "tree", "id", "group")
-        if not large.limit(1).count():
+        is_small, is_open = F.col("n") <= SMALL, (F.col("n") > SMALL) & (4 * F.col("m") < 3 * F.col("n")) if depth < LAST else F.lit(False)
+        # Of a large node with a main group, or at the end, only what stands outside that group is needed.
+        mixed = common.cut(beside(at, mixed_nodes(at), ["node"]).where(is_small | is_open | few_of_main).select("node", "id", "group", "main", is_small.alias("small"), is_open.alias("open")), "mixed")
+        pairs.append(all_pairs(mixed.where("small")))
+        apart.append(mixed.where("not small and not open").select("main", "id"))
+        on = mixed.where("open").select("id").distinct()
+        if depth == LAST or not on.limit(1).count():
             break
-        main = main_groups(large)
-        if depth == LAST:
-            rest.append(beside(large, main.select("node", "main", "n"), ["node"]).drop("n"))
-        else:
-            rest.append(beside(large, main.where("4 * m >= 3 * n").select("node", "main", "n"), ["node"]).drop("n"))
-            on = beside(large, main.where("4 * m < 3 * n").select("node", "n"), ["node"]).select("id").distinct()
-            at = nodes(common.cut(classes.join(on, "id", "left_semi"), "deeper"), LEVELS[depth + 2], depth + 2)
+        at = nodes(common.cut(classes.join(few(common.cut(on, "open")), "id", "left_semi"), "deeper"), LEVELS[depth + 2], depth + 2)
     out = pairs[0]
     for x in pairs[1:]:
         out = out.union(x)
     out = out.distinct()
-    if rest:
-        more = rest[0]
-        for x in rest[1:]:
-            more = more.union(x)
-        out = alike(out, classes, percent).union(rest_pairs(more, texts, k, percent)).distinct()
+    rest = apart[0]
+    for x in apart[1:]:
+        rest = rest.union(x)
+    rest = common.cut(rest.distinct(), "apart")
+    if rest.limit(1).count():
+        out = alike(out, classes, percent).union(rest_pairs(rest, classes, texts, k, percent)).distinct()
         out = common.cut(confirmed(out, texts, k, percent), "links")
     else:
         out = linked(out)
@@ -321,12 +323,6 @@ def all_pairs(rows: DataFrame) -> DataFrame:
     return members.select(F.explode(pairs).alias("p")).select("p.a", "p.b")
 
 
-def main_groups(rows: DataFrame) -> DataFrame:
-    """node, main (the group with most of its members), m (so many), n (all)."""
-    sizes = rows.groupBy("node", "group").agg(F.count("*").alias("m"))
-    return sizes.groupBy("node").agg(F.max_by("group", F.struct("m", "group")).alias("main"), F.max("m").alias("m"), F.sum("m").alias("n"))
-
-
 class Held:
     """Sets of hashes by what they hold: counts what each shares with another set."""
 
@@ -351,11 +347,11 @@ class Held:
         return self.ids[(shared > 0) & (100 * shared >= percent * (self.sizes + len(s) - shared))]
 
 
-def rest_pairs(rows: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Similar pairs (a, b) by hashes of shingles; rows: id, group, main of large nodes.
+def rest_pairs(apart: DataFrame, classes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Similar pairs (a, b) by hashes of shingles; apart: main, id of what stands outside the main group of a large node.
 
-    What isn't of a node's main group is compared with all in nodes of that main group. The latter are dealt out in blocks
-    of some BLOCK sets, and each of the former visits each block.
+    That is compared with the main group and all else that is apart from it. All of them are dealt out in blocks of some BLOCK
+    sets, and those apart visit each block.
     """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     hashed = pa.schema([("id", pa.int64()), ("set", pa.binary())])
@@ -385,7 +381,9 @@ def rest_pairs(rows: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
                 y += np.minimum(near, i).tolist()
             yield common.batch(schema, [x, y])
 
-    each = common.cut(rows.groupBy("main", "id").agg(F.max(F.col("group") != F.col("main")).alias("apart")), "rest")
+    mains = few(common.cut(apart.select(F.col("main").alias("group")).distinct(), "mains"))
+    own = classes.join(mains, "group", "left_semi").select(F.col("group").alias("main"), "id", F.lit(False).alias("apart"))
+    each = common.cut(own.union(apart.select("main", "id", F.lit(True).alias("apart"))), "rest")
     blocks = each.groupBy("main").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("n"))
     each = beside(each, blocks, ["main"])
     stay = each.select("main", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("visits"), "id")
@@ -393,7 +391,7 @@ def rest_pairs(rows: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
     wanted = few(common.cut(each.select("id").distinct(), "wanted"))
     known = common.cut(common.map_rows(texts.join(wanted, "id", "left_semi").select("id", "text").dropDuplicates(["id"]), sets, "id long, set binary"), "sets")
     dealt = stay.union(visit).join(known, "id").select("main", "block", "visits", "id", "set")
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = int(apart.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = dealt.repartition(n, "main", "block").sortWithinPartitions("main", "block", "visits", "id")
     return common.map_rows(dealt, run, "a long, b long").distinct()
 

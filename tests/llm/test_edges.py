@@ -197,8 +197,9 @@ def test_hot_keys_stay_where_they_are(spark, monkeypatch):
     """Facts of hot keys are sent to the rows, others joined by shuffle; the rows are those of a plain join, repeated ones too."""
     rows = spark.range(5000).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id") % 400).alias("node"), (F.col("id") % 1000).alias("x"))
     facts = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("x").alias("least")).where("node % 7 <> 0")
-    for hot in (1, 1000, 10**6):
+    for hot, most in ((1, 0), (1000, 0), (10**6, 0), (1, 10**6)):
         monkeypatch.setattr(near_dedup, "HOT", hot)
+        monkeypatch.setattr(near_dedup, "BROADCAST_FACTS", most)
         got = near_dedup.beside(rows, facts, ["node"]).select("node", "x", "n", "least")
         assert sorted(got.collect()) == sorted(rows.join(facts, "node").select("node", "x", "n", "least").collect())
 
