@@ -114,7 +114,7 @@ def list_rpop(spark, d):
 
 @query(f"SELECT key, len(items)::BIGINT AS length FROM {LISTS}")
 def list_llen(spark, d):
-    return kv.kv_pushes(spark, d).groupBy("key").agg(F.count("*").alias("length"))
+    return _list(spark, d).select("key", lists.llen(F.col("items")).alias("length"))
 
 
 @query(f"SELECT key, array_to_string(items[2:4], ',') AS middle, array_to_string(items[greatest(len(items) - 2, 1):], ',') AS tail, items[1] AS head FROM {LISTS}")
@@ -238,9 +238,8 @@ def zset_zrevrank(spark, d):
 
 @query(f"SELECT key, member, score FROM {SCORES} WHERE key = 'BUILDING' AND member = (SELECT min(member) FROM {SCORES} WHERE key = 'BUILDING')")
 def zset_zscore(spark, d):
-    z = _zset(spark, d).where("key = 'BUILDING'")
-    least = z.agg(F.min("member").alias("member"))
-    return z.join(F.broadcast(least), "member").select("key", "member", "score")
+    z = _zset(spark, d)
+    return zsets.zscore(z, "BUILDING", z.where("key = 'BUILDING'").agg(F.min("member")).first()[0]).select("key", "member", "score")
 
 
 @query(f"SELECT key, count(*) AS members FROM {SCORES} GROUP BY key")

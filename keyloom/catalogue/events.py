@@ -28,9 +28,7 @@ def stream_xrange(spark, d):
 
 @query(f"SELECT key, ms, seq, place FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ms DESC, seq DESC)::INT AS place FROM {STREAMS} WHERE ms BETWEEN {JAN5} AND {JAN10}) WHERE place <= 20")
 def stream_xrevrange(spark, d):
-    s = streams.xrange(kv.kv_streams(spark, d), (JAN5, 0), (JAN10, 2**62))
-    order = F.row_number().over(streams.Window.partitionBy("key").orderBy(F.desc("ms"), F.desc("seq")))
-    return s.withColumn("place", order).where("place <= 20").select("key", "ms", "seq", "place")
+    return streams.xrevrange(kv.kv_streams(spark, d), (JAN5, 0), (JAN10, 2**62), 20).select("key", "ms", "seq", "place")
 
 
 @query(f"SELECT key, count(*) AS entries FROM {STREAMS} GROUP BY key")
@@ -140,10 +138,25 @@ def streaming_filter(spark, d):
     return channels.drain(stream.where(pubsub.subscribed(["click", "error"]) & pubsub.size_between(0, 8)).select("channel", "ms", "user_id"))
 
 
+def _stream(spark, d):
+    return channels.by_time(channels.messages(kv.table(spark, d, "events")).select("channel", "ms", "ts", "user_id"), 4)
+
+
 @query(f"SELECT channel, ms // {DAY} * {DAY} AS start_ms, count(*) AS messages FROM {MESSAGES} GROUP BY ALL")
 def stream_window_counts(spark, d):
-    stream = channels.messages(channels.event_stream(spark, d))
-    return channels.drain(channels.windowed(stream), "complete")
+    """Mode append over several batches: each window comes once, when the watermark has passed it."""
+    return channels.drain(channels.windowed(_stream(spark, d))).where("channel <> 'end'")
+
+
+@query(f"SELECT channel, s AS start_ms, count(*) AS messages FROM (SELECT channel, ms, unnest([ms // 21600000 * 21600000 - 21600000 * i for i in range(4)]) AS s FROM {MESSAGES}) WHERE s > ms - {DAY} GROUP BY ALL")
+def stream_sliding_counts(spark, d):
+    return channels.drain(channels.windowed(_stream(spark, d), slide="6 hours")).where("channel <> 'end'")
+
+
+@query(f"SELECT user_id, min(ms) AS start_ms, max(ms) + {DAY} AS end_ms, count(*) AS messages FROM (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ms, seq) AS session FROM (SELECT *, CASE WHEN ms - lag(ms) OVER (PARTITION BY user_id ORDER BY ms, seq) < {DAY} THEN 0 ELSE 1 END AS opens FROM {MESSAGES})) GROUP BY user_id, session")
+def stream_session_counts(spark, d):
+    last = _stream(spark, d).select("ts", F.when(F.col("channel") == "end", -1).otherwise(F.col("user_id")).alias("user_id"))
+    return channels.drain(channels.sessions(last, "1 day")).where("user_id >= 0")
 
 
 @query(f"SELECT user_id, count(*) AS seen, max(ms) AS last_ms FROM {MESSAGES} GROUP BY user_id")

@@ -56,7 +56,7 @@ def kv_set_fold(spark, d):
     return folds.last_write(kv.kv_log(spark, d))
 
 
-@query(f"SELECT key, arg_min(value, seq) AS value, min(seq) AS seq FROM {LOG} WHERE op = 'set' GROUP BY key")
+@query(f"WITH log AS {LOG} SELECT key, value, seq FROM log l WHERE op = 'set' AND coalesce((SELECT arg_max(op, seq) FROM log b WHERE b.key = l.key AND b.seq < l.seq), 'del') = 'del' AND NOT EXISTS (SELECT 1 FROM log x WHERE x.key = l.key AND x.op = 'del' AND x.seq > l.seq)")
 def kv_setnx_fold(spark, d):
     return folds.first_write(kv.kv_log(spark, d))
 
@@ -121,9 +121,9 @@ def float_decrby(spark, d):
     return numbers.totals(kv.kv_floats(spark, d), -1).withColumn("value", F.round("value", 2))
 
 
-@query("SELECT p_partkey AS key, p_size::DOUBLE AS value FROM part")
+@query("SELECT event_type AS key, arg_max(value, event_id) AS value FROM events GROUP BY event_type")
 def float_set(spark, d):
-    return kv.table(spark, d, "part").select(F.col("p_partkey").alias("key"), F.col("p_size").cast("double").alias("value"))
+    return numbers.setfloat(kv.kv_floats(spark, d).withColumnRenamed("delta", "value"))
 
 
 @query("SELECT event_id, CASE WHEN regexp_matches(t, '^[+-]?[0-9]+$') THEN try_cast(t AS BIGINT) END AS parsed FROM (SELECT event_id, CASE event_id % 3 WHEN 0 THEN ' ' || user_id WHEN 1 THEN user_id::VARCHAR ELSE props END AS t FROM events)")
@@ -165,14 +165,29 @@ def snapshot_filter(spark, d):
     return snapshot.load(spark, path).where(F.col("key").startswith("user:1"))
 
 
+def _saved(spark, d):
+    path = new_path(spark, "snapshots")
+    snapshot.save(folds.last_write(kv.kv_log(spark, d)), path, 1)
+    return snapshot.load(spark, path)
+
+
+@query(f"SELECT 1 AS version, count(*) AS rows, 1::BIGINT AS at FROM {STATE}")
+def snapshot_header(spark, d):
+    path = new_path(spark, "snapshots")
+    snapshot.save(folds.last_write(kv.kv_log(spark, d)), path, 1)
+    return snapshot.header(spark, path)
+
+
 @query(f"SELECT key, upper(value) AS value FROM {STATE} WHERE seq % 2 = 0")
 def snapshot_transform(spark, d):
-    return snapshot.transform(folds.last_write(kv.kv_log(spark, d)), F.col("seq") % 2 == 0, F.upper).select("key", "value")
+    path = new_path(spark, "snapshots")
+    snapshot.save(snapshot.transform(_saved(spark, d), F.col("seq") % 2 == 0, F.upper), path, 2)
+    return snapshot.load(spark, path).select("key", "value")
 
 
 @query(f"SELECT count(*) AS rows, sum(strlen(key))::BIGINT AS key_bytes FROM {STATE}")
 def snapshot_count(spark, d):
-    return snapshot.count(folds.last_write(kv.kv_log(spark, d)))
+    return snapshot.count(_saved(spark, d))
 
 
 @query("SELECT 'PONG' AS ping, 'hello' AS echo, count(DISTINCT user_id) AS total_keys FROM events")

@@ -86,11 +86,14 @@ def geo_dist_methods(spark, d):
     return _pairs(spark, d).select("member", *(F.round(g(*_four()), 1).alias(k) for k, g in f.items()))
 
 
-@query(f"SELECT p.member, abs({haversine_sql(*PAIR)}) >= 0 AS close FROM {PAIRS}")
+#: Pairs of points and their distances in metres on WGS84: a published survey line, arcs of the equator, a quarter of a meridian.
+KNOWN = [("Flinders Peak - Buninyong", 144.42486788888888, -37.95103341666667, 143.92649552777777, -37.65282113888889, 54972.271), ("one degree of the equator", 0.0, 0.0, 1.0, 0.0, 111319.491), ("a quarter of the equator", 0.0, 0.0, 90.0, 0.0, 10018754.171), ("equator to pole", 0.0, 0.0, 0.0, 90.0, 10001965.729), ("one point", 10.0, 50.0, 10.0, 50.0, 0.0)]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{name}', {metres}::DOUBLE)" for name, *_, metres in KNOWN) + ") t(pair, metres)")
 def geo_dist_vincenty(spark, d):
-    """The ellipsoid's distance, told by whether it is within 0.6 percent of the sphere's."""
-    h = geo.haversine(*_four())
-    return _pairs(spark, d).select("member", (F.abs(registry.vincenty(*_four()) - h) <= h * 0.006 + 1).alias("close"))
+    rows = spark.createDataFrame([r[:5] for r in KNOWN], "pair string, lon1 double, lat1 double, lon double, lat double")
+    return rows.select("pair", F.round(registry.vincenty(*_four()), 3).alias("metres"))
 
 
 @query(f"SELECT p.member, round(m, 3) AS m, round(m / 1000, 6) AS km, round(m / 1609.344, 6) AS mi, round(m * 3.28084, 2) AS ft, round(m / 1852, 6) AS nmi FROM (SELECT p.member, {haversine_sql(*PAIR)} AS m FROM {PAIRS}) p")
@@ -108,14 +111,14 @@ def geo_recommend(spark, d):
 
 
 def _cells_sql(precision: int, lon: str = "lon", lat: str = "lat") -> tuple[str, str]:
-    nx, ny = geohash.bits_of(precision)
+    nx, ny = -(-5 * precision // 2), 5 * precision // 2
     return tuple(f"greatest(least(floor(({v} + {low}) / {w}::DOUBLE * {2**n}::DOUBLE)::BIGINT, {2**n - 1}), 0)" for v, low, w, n in ((lon, 180.0, 360.0, nx), (lat, 90.0, 180.0, ny)))
 
 
 def _hash_sql(x: str, y: str, precision: int) -> str:
-    nx, ny = geohash.bits_of(precision)
+    nx, ny = -(-5 * precision // 2), 5 * precision // 2
     bit = lambda i: f"(({x}) >> {nx - 1 - i // 2}) & 1" if i % 2 == 0 else f"(({y}) >> {ny - 1 - i // 2}) & 1"
-    return " || ".join(f"substr('{geohash.ALPHABET}', (" + " + ".join(f"({bit(5 * c + j)}) * {16 >> j}" for j in range(5)) + ")::INT + 1, 1)" for c in range(precision))
+    return " || ".join(f"substr('0123456789bcdefghjkmnpqrstuvwxyz', (" + " + ".join(f"({bit(5 * c + j)}) * {16 >> j}" for j in range(5)) + ")::INT + 1, 1)" for c in range(precision))
 
 
 X7, Y7 = _cells_sql(7)
@@ -134,22 +137,25 @@ def geohash_decode(spark, d):
     return g.select("member", F.round("b.west", 9).alias("west"), F.round("b.south", 9).alias("south"), inside.alias("inside"))
 
 
-@query(f"SELECT member, {_hash_sql('x', 'y + 1', 7)} AS n, {_hash_sql('(x + 1) % 262144', 'y', 7)} AS e, {_hash_sql('(x + 262143) % 262144', 'y - 1', 7)} AS sw FROM {CELLS7}")
+_E, _W, _AROUND = "(x + 1) % 262144", "(x + 262143) % 262144", {}
+for _name, _x in (("", "x"), ("e", _E), ("w", _W)):
+    _AROUND |= {f"n{_name}": (_x, "y + 1"), f"s{_name}": (_x, "y - 1")} | ({_name: (_x, "y")} if _name else {})
+
+
+@query("SELECT member, " + ", ".join(f"{_hash_sql(x, y, 7)} AS {name}" for name, (x, y) in _AROUND.items()) + f" FROM {CELLS7}")
 def geohash_neighbors(spark, d):
     g = kv.kv_geos(spark, d).select("member", geohash.neighbours(F.col("lon"), F.col("lat")).alias("a"))
-    return g.select("member", "a.n", "a.e", "a.sw")
+    return g.select("member", "a.*")
 
 
-@query(f"SELECT DISTINCT {_hash_sql(*_cells_sql(3), 3)} AS parent, {_hash_sql(*_cells_sql(3), 3)} || c AS child FROM {GEOS}, (SELECT unnest(string_split('{geohash.ALPHABET}', '')) AS c)")
+@query(f"SELECT DISTINCT {_hash_sql(*_cells_sql(3), 3)} AS parent, {_hash_sql(*_cells_sql(3), 3)} || c AS child FROM {GEOS}, (SELECT unnest(string_split('0123456789bcdefghjkmnpqrstuvwxyz', '')) AS c)")
 def geohash_children(spark, d):
     g = kv.kv_geos(spark, d).select(geohash.parent(geohash.encode(F.col("lon"), F.col("lat"), 4)).alias("parent")).distinct()
     return g.select("parent", F.explode(geohash.children(F.col("parent"))).alias("child"))
 
 
 def _spread_sql(v: str) -> str:
-    for shift, mask in geohash.SPREAD:
-        v = f"((({v}) | (({v}) << {shift})) & {mask})"
-    return v
+    return "(" + " + ".join(f"((({v} >> {i}) & 1) << {2 * i})" for i in range(26)) + ")"
 
 
 _S26 = [f"greatest(least(floor(({v} + {low}) / {w}::DOUBLE * {2**26}::DOUBLE)::BIGINT, {2**26 - 1}), 0)" for v, low, w in (("lon", 180.0, 360.0), ("lat", 90.0, 180.0))]
@@ -162,5 +168,40 @@ def geohash_score52(spark, d):
 
 @query(f"SELECT count(*) AS buckets, sum(n)::BIGINT AS members, round(avg(n), 6) AS mean, max(n) AS most FROM (SELECT count(*) AS n FROM {GEOS} GROUP BY {_hash_sql(*_cells_sql(3), 3)})")
 def geo_bucket_stats(spark, d):
-    per = kv.kv_geos(spark, d).groupBy(geohash.encode(F.col("lon"), F.col("lat"), 3).alias("cell")).agg(F.count("*").alias("n"))
-    return per.agg(F.count("*").alias("buckets"), F.sum("n").alias("members"), F.round(F.avg("n"), 6).alias("mean"), F.max("n").alias("most"))
+    return geo.bucket_stats(kv.kv_geos(spark, d), 3).withColumn("mean", F.round("mean", 6))
+
+
+@query(f"SELECT member, round(x * 360.0 / 67108864 - 180 + 180.0 / 67108864, 9) AS lon, round(y * 180.0 / 67108864 - 90 + 90.0 / 67108864, 9) AS lat FROM (SELECT member, {_S26[0]} AS x, {_S26[1]} AS y FROM {GEOS})")
+def geohash_unscore52(spark, d):
+    g = kv.kv_geos(spark, d).select("member", geohash.unscore(geohash.score(F.col("lon"), F.col("lat"))).alias("p"))
+    return g.select("member", F.round("p.lon", 9).alias("lon"), F.round("p.lat", 9).alias("lat"))
+
+
+@query(f"SELECT key, member, lon, lat FROM (SELECT key, member, CASE WHEN member % 3 = 0 THEN lat ELSE lon END AS lon, lat FROM {GEOS} WHERE member % 5 <> 0 UNION ALL SELECT key, member, lon, lat FROM {GEOS} WHERE member % 5 = 0)")
+def geo_geoadd(spark, d):
+    """Members are added, every third one again elsewhere; every fifth one's second position is out of range and rejected."""
+    g = kv.kv_geos(spark, d)
+    again = g.where("member % 3 = 0").withColumn("lon", F.when(F.col("member") % 5 == 0, 500.0).otherwise(F.col("lat")))
+    return geo.geoadd(g.withColumn("seq", F.lit(1)).unionByName(again.withColumn("seq", F.lit(2))))
+
+
+_CENTRE = f"{GEOS} g JOIN {GEOS} c ON c.key = g.key AND c.member = 11"
+_APART = haversine_sql("c.lon", "c.lat", "g.lon", "g.lat")
+
+
+@query(f"SELECT key, member, round(dist, 3) AS dist, place FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY dist, member)::INT AS place FROM (SELECT g.key, g.member, {_APART} AS dist FROM {_CENTRE} WHERE g.member <> 11)) WHERE place <= 4")
+def geo_knn_by_member(spark, d):
+    return _rounded(geo.knn_by_member(kv.kv_geos(spark, d), 11, 4)).select("key", "member", "dist", "place")
+
+
+_FLAT = "abs((lon - 0.0) * 111000.0 * cos(radians(lat * 0.5))) + abs(lat * 111000.0)"
+
+
+@query(f"SELECT key, member, round(dist, 3) AS dist, place FROM (SELECT key, member, {_FLAT} AS dist, row_number() OVER (PARTITION BY key ORDER BY {_FLAT}, member)::INT AS place FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY {FROM_HERE}, member) AS n FROM {GEOS}) WHERE n <= 10) WHERE place <= 5")
+def geo_knn_by_method(spark, d):
+    return _rounded(geo.knn_by_method(kv.kv_geos(spark, d), *HERE, 5, "manhattan")).select("key", "member", "dist", "place")
+
+
+@query(f"SELECT g.key, g.member, round({_APART} / 1000, 3) AS dist, g.lon, g.lat FROM {_CENTRE} WHERE {_APART} <= 2000000")
+def geo_search_from_member(spark, d):
+    return _rounded(geo.geosearch_from_member(kv.kv_geos(spark, d), 11, 2000, "km", True, True))

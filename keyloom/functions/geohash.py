@@ -77,6 +77,19 @@ def children(geohash: Column) -> Column:
     return F.transform(F.split(F.lit(ALPHABET), ""), lambda c: F.concat(geohash, c))
 
 
+def unscore(score_: Column) -> Column:
+    """lon, lat: the centre of a 52-bit score's cell."""
+
+    def gather(v: Column) -> Column:
+        v = v.bitwiseAND(F.lit(SPREAD[-1][1]))
+        for (shift, _), (_, mask) in zip(reversed(SPREAD), [*list(reversed(SPREAD))[1:], (0, 0x00000000FFFFFFFF)], strict=True):
+            v = v.bitwiseOR(F.shiftright(v, shift)).bitwiseAND(F.lit(mask))
+        return v
+
+    x, y = gather(F.shiftright(score_, 1)), gather(score_)
+    return F.struct(((x + 0.5) * F.lit(360.0 / 2**26) - 180.0).alias("lon"), ((y + 0.5) * F.lit(180.0 / 2**26) - 90.0).alias("lat"))
+
+
 def score(lon: Column, lat: Column) -> Column:
     """52 bits: 26 of longitude and 26 of latitude, longitude first."""
 

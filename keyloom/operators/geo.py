@@ -76,8 +76,8 @@ def recommended(metres: Column, accuracy: Column) -> Column:
 
 
 def geopos(points: DataFrame, asked: DataFrame) -> DataFrame:
-    """key, member, lon, lat of each (key, member) asked, a small table; null where there is none."""
-    return F.broadcast(asked).join(points, ["key", "member"], "left").select("key", "member", "lon", "lat")
+    """key, member, lon, lat of each (key, member) asked; null where there is none."""
+    return asked.join(points, ["key", "member"], "left").select("key", "member", "lon", "lat")
 
 
 def geodist(points: DataFrame, a: object, b: object, unit: str = "m") -> DataFrame:
@@ -114,13 +114,48 @@ def geosearch(points: DataFrame, lon: float, lat: float, radius: float, unit: st
     return near if count is None else near.orderBy("dist", "key", "member").limit(count)
 
 
+def bucket_stats(points: DataFrame, precision: int) -> DataFrame:
+    """buckets, members, mean and most members of the geohash cells that have some."""
+    from keyloom.functions import geohash
+
+    per = points.groupBy(geohash.encode(F.col("lon"), F.col("lat"), precision).alias("cell")).agg(F.count("*").alias("n"))
+    return per.agg(F.count("*").alias("buckets"), F.sum("n").alias("members"), F.avg("n").alias("mean"), F.max("n").alias("most"))
+
+
+METHODS = {"haversine": haversine, "great_circle": great_circle, "manhattan": manhattan, "euclidean": euclidean}
+
+
 def knn(points: DataFrame, lon: float, lat: float, k: int) -> DataFrame:
     """The k nearest members of each key, with dist and place; ties by member."""
-    out = points.withColumn("dist", haversine(F.lit(lon), F.lit(lat), F.col("lon"), F.col("lat")))
+    return _nearest(points, haversine(F.lit(lon), F.lit(lat), F.col("lon"), F.col("lat")), k)
+
+
+def _nearest(points: DataFrame, dist: Column, k: int) -> DataFrame:
+    out = points.withColumn("dist", dist)
     order = Window.partitionBy("key").orderBy("dist", "member")
     return out.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
 
 
+def knn_by_method(points: DataFrame, lon: float, lat: float, k: int, method: str) -> DataFrame:
+    """The 2 k nearest members of each key on the sphere, and of them the k nearest by the method."""
+    near = knn(points, lon, lat, 2 * k).drop("dist", "place")
+    return _nearest(near, METHODS[method](F.lit(lon), F.lit(lat), F.col("lon"), F.col("lat")), k)
+
+
+def knn_by_member(points: DataFrame, member: object, k: int) -> DataFrame:
+    """The k members nearest to one, in each key that has it; the member itself isn't among them."""
+    centre = points.where(F.col("member") == member).select("key", F.col("lon").alias("lon1"), F.col("lat").alias("lat1"))
+    others = points.where(F.col("member") != member).join(centre, "key")
+    return _nearest(others, haversine(*map(F.col, ("lon1", "lat1", "lon", "lat"))), k).drop("lon1", "lat1")
+
+
+def geosearch_from_member(points: DataFrame, member: object, radius: float, unit: str = "m", with_dist: bool = False, with_coord: bool = False) -> DataFrame:
+    """GEOSEARCH around a member of each key that has it: key, member, and dist or lon and lat if asked for."""
+    near = by_member(points, member, radius, unit)
+    near = near.join(points.select("key", "member", "lon", "lat"), ["key", "member"]) if with_coord else near
+    return near.select("key", "member", *["dist"] * with_dist, *["lon", "lat"] * with_coord)
+
+
 def _cells(edge: float) -> list[Column]:
     r = F.lit(math.pi / 180.0)
     flat = F.cos(F.col("lat") * r)
@@ -144,4 +179,4 @@ def by_member(points: DataFrame, member: object, radius: float, unit: str = "m")
     """GEORADIUSBYMEMBER in each key that has the member; the centre itself belongs to it."""
     centre = points.where(F.col("member") == member).select("key", F.col("lon").alias("lon1"), F.col("lat").alias("lat1"))
     dist = from_metres(haversine(*map(F.col, ("lon1", "lat1", "lon", "lat"))), unit)
-    return points.join(F.broadcast(centre), "key").withColumn("dist", dist).where(F.col("dist") <= radius).select("key", "member", "dist")
+    return points.join(centre, "key").withColumn("dist", dist).where(F.col("dist") <= radius).select("key", "member", "dist")

@@ -62,16 +62,19 @@ def hrandfield(state: DataFrame, count: int, seed: int = 0) -> DataFrame:
 
 
 def hincrby(state: DataFrame, increments: DataFrame) -> DataFrame:
-    """key, field, value: integer fields plus the sum of their increments (key, field, delta); missing ones begin at 0."""
+    """key, field, value: integer fields plus the sum of their increments (key, field, delta); missing ones begin at 0, and one that is
+    no integer of 64 bits is an error."""
     add = increments.groupBy("key", "field").agg(F.sum("delta").alias("delta"))
     both = state.join(add, ["key", "field"], "full")
-    value = F.when(F.col("delta").isNull(), F.col("value")).otherwise((F.coalesce(numbers.parse_int(F.col("value")), F.lit(0)) + F.col("delta")).cast("string"))
+    old = F.when(F.col("value").isNull(), F.lit(0).cast("bigint")).otherwise(numbers.needed(numbers.parse_int(F.col("value")), "hash value is not an integer"))
+    value = F.when(F.col("delta").isNull(), F.col("value")).otherwise((old + F.col("delta")).cast("string"))
     return both.select("key", "field", value.alias("value"))
 
 
 def hincrbyfloat(state: DataFrame, increments: DataFrame) -> DataFrame:
-    """key, field, value (double): as hincrby() with finite doubles."""
+    """key, field, value (double): as hincrby() with finite doubles; fields without an increment that are no numbers are null."""
     add = increments.groupBy("key", "field").agg(F.sum(numbers.finite(F.col("delta"))).alias("delta"))
     both = state.join(add, ["key", "field"], "full")
-    total = F.coalesce(numbers.parse_float(F.col("value")), F.lit(0.0)) + F.coalesce("delta", F.lit(0.0))
-    return both.select("key", "field", numbers.finite(total).alias("value"))
+    parsed = numbers.parse_float(F.col("value"))
+    old = F.when(F.col("value").isNull(), F.lit(0.0)).otherwise(numbers.needed(parsed, "hash value is not a float"))
+    return both.select("key", "field", F.when(F.col("delta").isNull(), parsed).otherwise(numbers.finite(old + F.col("delta"))).alias("value"))

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections import deque
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -49,6 +53,55 @@ def lrem(items: Column, count: int, value: str) -> Column:
     return left if count > 0 else F.reverse(left)
 
 
-def positions(log: DataFrame) -> DataFrame:
-    """The long form (key, idx, value): for lists too long for one array."""
-    return log.withColumn("idx", F.row_number().over(Window.partitionBy("key").orderBy("seq")) - 1)
+def llen(items: Column) -> Column:
+    return F.size(items).cast("long")
+
+
+def fold(log: DataFrame) -> DataFrame:
+    """key, idx, value: the lists that a mixed log (key, seq, op, value, at) leaves, in long form; empty lists have no rows.
+
+    op: lpush, rpush, lpop, rpop, lset (`value` at place `at`, negative from the end; out of range it is an error) and lrem (`at` times
+    `value`, as lrem()). Each key's events are a sorted stream: the list as it stands is all that is held. What an event does depends on
+    all before it, so one key is one task's work.
+    """
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, items = None, deque()
+
+        def rows() -> pd.DataFrame:
+            return pd.DataFrame({"key": [key] * len(items), "idx": range(len(items)), "value": list(items)})
+
+        for part in parts:
+            for k, op, value, at in zip(part["key"], part["op"], part["value"], part["at"], strict=True):
+                if k != key:
+                    if items:
+                        yield rows()
+                    key, items = k, deque()
+                if op == "lpush":
+                    items.appendleft(value)
+                elif op == "rpush":
+                    items.append(value)
+                elif op in ("lpop", "rpop"):
+                    if items:
+                        items.popleft() if op == "lpop" else items.pop()
+                elif op == "lset":
+                    items[int(at)] = value
+                elif op == "lrem":
+                    left = abs(int(at)) or len(items)
+                    if at < 0:
+                        items.reverse()
+                    kept = deque()
+                    for x in items:
+                        if x == value and left:
+                            left -= 1
+                        else:
+                            kept.append(x)
+                    items = kept
+                    if at < 0:
+                        items.reverse()
+        if items:
+            yield rows()
+
+    n = int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = log.select("key", "seq", "op", "value", F.coalesce("at", F.lit(0)).cast("long").alias("at")).repartition(n, "key").sortWithinPartitions("key", "seq")
+    return dealt.mapInPandas(run, "key string, idx long, value string")

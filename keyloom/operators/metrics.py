@@ -43,3 +43,31 @@ def health(per_shard: DataFrame) -> DataFrame:
     imbalance = F.when(F.col("least") == 0, 1.0).otherwise(F.col("most") / F.col("least"))
     s = s.select("healthy", "shards", health_score(F.col("errors_all") / F.col("all"), imbalance, F.col("healthy"), F.col("shards")).alias("score"))
     return s.withColumn("status", F.when(F.col("score") > 0.8, "healthy").when(F.col("score") > 0.6, "warning").otherwise("critical"))
+
+
+def load_variance(per_shard: DataFrame) -> DataFrame:
+    """variance (population) and mean of the loads (shard, load); without shards it is 0."""
+    return per_shard.agg(F.coalesce(F.var_pop("load"), F.lit(0.0)).alias("variance"), F.avg("load").alias("mean"))
+
+
+def slow_share(samples: DataFrame, above: float) -> DataFrame:
+    """op, n, slow, percent of samples (op, ms) that took longer."""
+    slow = F.count_if(F.col("ms") > above)
+    return samples.groupBy("op").agg(F.count("*").alias("n"), slow.alias("slow"), (slow * 100.0 / F.count("*")).alias("percent"))
+
+
+def slow_log(samples: DataFrame, above: float, *order: str) -> DataFrame:
+    """The samples that took longer than that, with all their columns (client, slot, key, result), slowest first."""
+    return samples.where(F.col("ms") > above).orderBy(F.desc("ms"), *order)
+
+
+def sliding_history(samples: DataFrame, width_ms: int, step_ms: int) -> DataFrame:
+    """end_ms, n, total of the stretch of width_ms before each step: sums of steps first, so a sample is sent on once, not once a window."""
+    steps = samples.groupBy((F.floor(F.col("ms") / step_ms) * step_ms).cast("long").alias("slot")).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    ends = steps.select(F.explode(F.sequence(F.col("slot") + step_ms, F.col("slot") + width_ms, F.lit(step_ms).cast("long"))).alias("end_ms"), "n", "total")
+    return ends.groupBy("end_ms").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+
+
+def recent(samples: DataFrame, duration_ms: int, now: int) -> DataFrame:
+    """Samples (ms, ...) of the time before now, the cutoff itself not among them."""
+    return samples.where((F.col("ms") > now - duration_ms) & (F.col("ms") <= now))

@@ -27,7 +27,8 @@ def load_share(ops: DataFrame) -> DataFrame:
 
 
 def hot_keys(ops: DataFrame, above: int = HOT) -> DataFrame:
-    return ops.groupBy("key").agg(F.count("*").alias("ops")).where(F.col("ops") > above)
+    """key, ops of keys with more operations than that, hottest first."""
+    return ops.groupBy("key").agg(F.count("*").alias("ops")).where(F.col("ops") > above).orderBy(F.desc("ops"), "key")
 
 
 def moves(ops: DataFrame) -> DataFrame:
@@ -40,3 +41,18 @@ def moves(ops: DataFrame) -> DataFrame:
     slots = ops.groupBy("shard", "slot").agg(F.count("*").alias("ops")).where(F.col("ops") > HOT)
     plan = slots.join(F.broadcast(over), F.col("shard") == F.col("from_shard")).crossJoin(F.broadcast(to)).where(F.col("to_shard").isNotNull())
     return plan.select("slot", "from_shard", "to_shard", "ops").orderBy(F.desc("ops"), "slot").limit(BATCH)
+
+
+def slot_owners(ranges: DataFrame) -> DataFrame:
+    """slot, shard of ranges (first, last, shard) of slots, both ends included: 16384 rows at most, whatever the keys."""
+    return ranges.select(F.explode(F.sequence("first", "last")).alias("slot"), "shard")
+
+
+def routed(keys: DataFrame, ranges: DataFrame) -> DataFrame:
+    """keys (slot, ...) with the shard that owns their slot; null where none does."""
+    return keys.join(F.broadcast(slot_owners(ranges)), "slot", "left")
+
+
+def extremes(per_shard: DataFrame) -> DataFrame:
+    """least and most keys of any shard (shard, keys), and the shards that have them."""
+    return per_shard.agg(F.min("keys").alias("least"), F.min_by("shard", F.struct("keys", "shard")).alias("least_shard"), F.max("keys").alias("most"), F.max_by("shard", F.struct("keys", "shard")).alias("most_shard"))

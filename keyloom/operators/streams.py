@@ -45,6 +45,27 @@ def xtrim(s: DataFrame, max_len: int) -> DataFrame:
     return s.withColumn("n", F.row_number().over(order)).where(F.col("n") <= max_len).drop("n")
 
 
+def xrevrange(s: DataFrame, low: Id, high: Id, count: int) -> DataFrame:
+    """The last `count` entries of each stream in the closed range, with their place, the newest first."""
+    order = Window.partitionBy("key").orderBy(F.desc("ms"), F.desc("seq"))
+    return xrange(s, low, high).withColumn("place", F.row_number().over(order)).where(F.col("place") <= count)
+
+
+def xgroup_create(groups: DataFrame, key: str, group: str, start: Id) -> DataFrame:
+    """Groups (group, key, ms, seq: the id after which they read) with one more; one that exists is an error."""
+    if groups.where((F.col("key") == key) & (F.col("group") == group)).limit(1).count():
+        raise ValueError("group already exists")
+    new = groups.sparkSession.range(1).select(F.lit(group).alias("group"), F.lit(key).alias("key"), *(F.lit(x).cast("long").alias(c) for x, c in zip(start, ("ms", "seq"), strict=True)))
+    return groups.unionByName(new)
+
+
+def undelivered(s: DataFrame, groups: DataFrame, acks: DataFrame, group: str) -> DataFrame:
+    """Entries of the group's streams after its start that it has not acknowledged."""
+    own = groups.where(F.col("group") == group).select("key", F.struct("ms", "seq").alias("_start"))
+    after = s.join(own, "key").where(F.struct("ms", "seq") > F.col("_start")).drop("_start")
+    return pending(after, acks, group)
+
+
 def pending(s: DataFrame, acks: DataFrame, group: str) -> DataFrame:
     """Entries that the group has not acknowledged (acks: group, key, ms, seq)."""
     return xdel(s, acks.where(F.col("group") == group))

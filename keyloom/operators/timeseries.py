@@ -37,3 +37,23 @@ def live(keys: DataFrame, now: int) -> DataFrame:
 
 def expired(keys: DataFrame, now: int) -> DataFrame:
     return keys.where(F.col("deadline") <= now)
+
+
+def create(series: DataFrame, new: DataFrame) -> DataFrame:
+    """TS.CREATE: series (key, retention_ms, labels) with the new ones; a key that exists is an error."""
+    both = new.join(series.select("key", F.lit(True).alias("_there")), "key", "left")
+    key = F.when(F.col("_there"), F.raise_error(F.lit("key already exists"))).otherwise(F.col("key"))
+    return series.unionByName(both.select(key.alias("key"), "retention_ms", "labels"))
+
+
+def add(ts: DataFrame, new: DataFrame) -> DataFrame:
+    """TS.ADD: one sample (key, ms, seq, value) a key and time, the last written."""
+    last = ts.unionByName(new).groupBy("key", "ms").agg(F.max_by(F.struct("seq", "value"), "seq").alias("last"))
+    return last.select("key", "ms", "last.seq", "last.value")
+
+
+def labelled(series: DataFrame, labels: dict[str, str]) -> DataFrame:
+    """Series whose labels have all of these."""
+    for k, v in labels.items():
+        series = series.where(F.coalesce(F.try_element_at("labels", F.lit(k)) == v, F.lit(False)))
+    return series

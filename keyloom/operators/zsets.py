@@ -10,6 +10,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Buckets that scores are dealt into.
+BUCKETS = 256
+
+
 def zadd(log: DataFrame) -> DataFrame:
     """The last score (key, member, score, seq) of each member."""
     return log.groupBy("key", "member").agg(F.max_by("score", "seq").alias("score"))
@@ -40,10 +44,21 @@ def zrange(z: DataFrame, start: int, stop: int, reverse: bool = False) -> DataFr
 
 
 def zrank(z: DataFrame, asked: DataFrame, reverse: bool = False) -> DataFrame:
-    """key, member, place of each (key, member) asked, a small table: a count of the members before it."""
-    mine = z.join(F.broadcast(asked.select("key", "member")), ["key", "member"]).select("key", F.col("member").alias("m"), F.col("score").alias("s"))
+    """key, member, place of each (key, member) asked: a count of the members before it.
+
+    Scores are dealt into buckets at quantiles: whole buckets before are counted once, so a member asked for meets those of its own bucket
+    only, and no set is sorted or held as a whole.
+    """
+    shares = [i / BUCKETS for i in range(1, BUCKETS)]
+    bounds = sorted({x for x in z.approxQuantile("score", shares, 0.25 / BUCKETS) if x == x}) if shares else []
+    bucket = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda x: x < F.col("score"))) if bounds else F.lit(0)
+    z = z.select("key", "member", "score", bucket.alias("bucket"))
+    mine = z.join(asked.select("key", "member").distinct(), ["key", "member"]).select("key", "bucket", F.col("member").alias("m"), F.col("score").alias("s"))
+    whole = Window.partitionBy("key").orderBy(F.desc("bucket") if reverse else "bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counts = z.groupBy("key", "bucket").agg(F.count("*").alias("n")).select("key", "bucket", F.coalesce(F.sum("n").over(whole), F.lit(0)).alias("ahead"))
     before = (F.col("score") > F.col("s")) | ((F.col("score") == F.col("s")) & (F.col("member") > F.col("m"))) if reverse else (F.col("score") < F.col("s")) | ((F.col("score") == F.col("s")) & (F.col("member") < F.col("m")))
-    return z.join(F.broadcast(mine), "key").groupBy("key", F.col("m").alias("member")).agg(F.count_if(before).alias("place"))
+    own = z.join(mine, ["key", "bucket"]).groupBy("key", "bucket", F.col("m").alias("member")).agg(F.count_if(before).alias("n"))
+    return own.join(counts, ["key", "bucket"]).select("key", "member", (F.col("n") + F.col("ahead")).alias("place"))
 
 
 def zscore(z: DataFrame, key: str, member: object) -> DataFrame:

@@ -16,8 +16,10 @@ def last_write(log: DataFrame) -> DataFrame:
 
 
 def first_write(log: DataFrame) -> DataFrame:
-    """key, value, seq: SETNX, the first write of a key wins."""
-    return log.where("op = 'set'").groupBy("key").agg(F.min_by("value", "seq").alias("value"), F.min("seq").alias("seq"))
+    """key, value, seq: SETNX, the first write of a key since it was last deleted wins; deleted keys are gone."""
+    gone = log.where("op = 'del'").groupBy("key").agg(F.max("seq").alias("_gone"))
+    sets = log.where("op = 'set'").join(gone, "key", "left").where("_gone is null or seq > _gone")
+    return sets.groupBy("key").agg(F.min_by("value", "seq").alias("value"), F.min("seq").alias("seq"))
 
 
 def since_flush(log: DataFrame) -> DataFrame:

@@ -2,19 +2,36 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Of the layout of snapshots.
+VERSION = 1
+
+
 def save(state: DataFrame, path: str, at: int) -> str:
     """One folder a snapshot, named by its time; Spark's commit makes it appear whole or not at all."""
     folder = f"{path}/snapshot={at}"
     state.write.mode("overwrite").option("compression", "zstd").parquet(folder)
+    # The header comes last: a snapshot without one isn't whole.
+    rows = state.sparkSession.read.parquet(folder).agg(F.lit(VERSION).alias("version"), F.count("*").alias("rows"), F.lit(at).cast("long").alias("at"))
+    rows.coalesce(1).write.mode("overwrite").parquet(f"{path}/header={at}")
     return folder
 
 
+def header(spark: SparkSession, path: str, at: int | None = None) -> DataFrame:
+    """version, rows, at of the newest snapshot, or of one."""
+    return spark.read.parquet(f"{path}/header={snapshots(spark, path)[0] if at is None else at}")
+
+
+def foreach(state: DataFrame, call: Callable[[Iterator], None]) -> None:
+    """Calls `call` with an iterator of rows for each part of a snapshot, on the executors."""
+    state.foreachPartition(call)
+
+
 def snapshots(spark: SparkSession, path: str) -> list[int]:
     """Times of the snapshots there, the newest first."""
     fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -37,8 +54,9 @@ def retain(spark: SparkSession, path: str, newest: int = 3) -> list[int]:
     """Deletes all but the newest snapshots; the times that went."""
     gone = snapshots(spark, path)[newest:]
     for t in gone:
-        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/snapshot={t}")
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        for what in ("header", "snapshot"):
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{what}={t}")
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
     return gone
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,9 +14,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where that is unset, as in tests, a folder of our own."""
-    set_to = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{(set_to or '/tmp/checkpoints/keyloom').rstrip('/')}/keyloom-core-{spark.sparkContext.applicationId}"
+    """A folder of this application in spark.checkpoint.dir, deleted when the driver ends. Where that is unset, a temporary folder in
+    local mode; on a cluster, whose executors would not see each other's, an error."""
+    sc = spark.sparkContext
+    set_to = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not set_to:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        set_to = os.path.join(tempfile.gettempdir(), "checkpoints", "keyloom")
+    path = f"{set_to.rstrip('/')}/keyloom-core-{sc.applicationId}"
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return path
 
 
 def new_path(spark: SparkSession, what: str) -> str:

@@ -1,18 +1,23 @@
 """Laws, edge cases and published values that the oracle queries don't reach."""
 
 import math
+import os
 import random
+import subprocess
+import sys
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from keyloom import catalogue
-from keyloom.functions import geohash, registry
-from keyloom.operators import bitmaps, geo, hll, keyspace, lists, pubsub, sets, strings, zsets
+from keyloom.functions import geohash, registry, text
+from keyloom.operators import bitmaps, geo, hashes, hll, keyspace, lists, numbers, pubsub, sets, streams, strings, timeseries, zsets
 from keyloom.plans import log as folds
 from keyloom.sources import snapshot
 from keyloom.storage import new_path
+from keyloom.streaming import channels
 
 from .conftest import SF
 
@@ -153,3 +158,146 @@ def test_point_lookup_reaches_the_scan(spark):
 def test_leaderboard_limits_before_the_shuffle(spark):
     plan = catalogue.QUERIES["leaderboard_zrevrange"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_increments_of_what_is_no_number_are_errors(spark):
+    fields = lambda v: spark.createDataFrame([("k", "f", v), ("k", "g", "word")], "key string, field string, value string")
+    add = spark.createDataFrame([("k", "f", 5)], "key string, field string, delta long")
+    got = {r.field: r.value for r in hashes.hincrby(fields("37"), add).collect()}
+    assert got == {"f": "42", "g": "word"}
+    for v in ("abc", "99999999999999999999", " 1", "1.5"):
+        with pytest.raises(Exception, match="not an integer"):
+            hashes.hincrby(fields(v), add).collect()
+    with pytest.raises(Exception, match="overflow|OVERFLOW"):
+        hashes.hincrby(fields("9223372036854775807"), add).collect()
+    half = spark.createDataFrame([("k", "f", 0.5), ("k", "new", 1.5)], "key string, field string, delta double")
+    assert {r.field: r.value for r in hashes.hincrbyfloat(fields("37"), half).collect()} == {"f": 37.5, "g": None, "new": 1.5}
+    with pytest.raises(Exception, match="not a float"):
+        hashes.hincrbyfloat(fields("abc"), half).collect()
+    with pytest.raises(Exception, match="not finite"):
+        numbers.setfloat(spark.createDataFrame([("k", 1, float("nan"))], "key string, seq long, value double")).collect()
+
+
+def test_setnx_after_a_delete_wins(spark):
+    log = spark.createDataFrame([(1, "set", "a", "x"), (2, "del", "a", None), (3, "set", "a", "y"), (4, "set", "a", "z"), (1, "set", "b", "p"), (2, "set", "b", "q"), (1, "set", "c", "p"), (2, "del", "c", None)], "seq long, op string, key string, value string")
+    assert sorted(tuple(r) for r in folds.first_write(log).collect()) == [("a", "y", 3), ("b", "p", 1)]
+
+
+def test_list_fold_is_the_fold_one_by_one(spark):
+    rng = random.Random(3)
+    rows, want = [], {}
+    for seq in range(800):
+        key, op, value, at = f"k{rng.randrange(6)}", rng.choice(["lpush", "rpush", "lpush", "rpush", "lpop", "rpop", "lrem", "lset"]), f"v{rng.randrange(4)}", rng.choice([-2, -1, 0, 1, 2])
+        items = want.setdefault(key, [])
+        if op == "lset":
+            if not items:
+                continue
+            at = rng.randrange(-len(items), len(items))
+            items[at] = value
+        elif op == "lpush":
+            items.insert(0, value)
+        elif op == "rpush":
+            items.append(value)
+        elif op in ("lpop", "rpop") and items:
+            items.pop(0 if op == "lpop" else -1)
+        elif op == "lrem":
+            for _ in range(abs(at) or len(items)):
+                places = [i for i, x in enumerate(items) if x == value]
+                if places:
+                    del items[places[-1] if at < 0 else places[0]]
+        rows.append((key, seq, op, value, at))
+    log = spark.createDataFrame(rows, "key string, seq long, op string, value string, at long").repartition(3)
+    got = {}
+    for r in sorted(lists.fold(log).collect(), key=lambda r: r.idx):
+        got.setdefault(r.key, []).append(r.value)
+    assert got == {k: v for k, v in want.items() if v}
+    with pytest.raises(Exception, match="IndexError|range"):
+        lists.fold(spark.createDataFrame([("k", 1, "lset", "x", 0)], log.schema)).collect()
+
+
+def test_bitmaps_over_blocks(spark, monkeypatch):
+    """Gaps and complements are those of plain sets, whatever the blocks."""
+    rng = random.Random(5)
+    sets = {"full": set(range(64)), "late": {40}, "none before": set(range(30, 50)), **{f"r{i}": {x for x in range(80) if rng.random() < 0.9} | {79} for i in range(8)}}
+    rows = spark.createDataFrame([(k, x) for k, v in sets.items() for x in v], "key string, offset long")
+    for block in (8, 7, 65_536):
+        monkeypatch.setattr(bitmaps, "BLOCK", block)
+        for start, end in ((0, None), (0, 40), (16, 33), (5, 100)):
+            inside = range(start, end or 10**4)
+            for bit in (0, 1):
+                got = {r.key: r.offset for r in bitmaps.bitpos(rows, bit, start, end).collect()}
+                assert got == {k: next((x for x in inside if (x in v) == bool(bit)), None) for k, v in sets.items()}, (block, start, end, bit)
+        for k in ("full", "late", "r0"):
+            assert {r.offset for r in bitmaps.bitnot(rows, k).collect()} == set(range(max(sets[k]) // 8 * 8 + 8)) - sets[k]
+
+
+def test_running_sums_and_ranks_over_stretches(spark, monkeypatch):
+    rng = random.Random(7)
+    rows = [(f"k{i % 3}", i * 3, rng.randrange(-5, 6)) for i in range(300)]
+    df = spark.createDataFrame(rows, "key string, seq long, delta long")
+    sums, want = {}, set()
+    for key, seq, delta in rows:
+        sums[key] = sums.get(key, 0) + delta
+        want.add((key, seq, delta, sums[key]))
+    for stretch in (1, 50, 65_536):
+        assert {tuple(r) for r in numbers.running(df, stretch).collect()} == want
+    z = [(f"k{i % 2}", i, float(rng.randrange(0, 12))) for i in range(200)]
+    zdf = spark.createDataFrame(z, "key string, member long, score double")
+    for buckets in (1, 4, 256):
+        monkeypatch.setattr(zsets, "BUCKETS", buckets)
+        for reverse in (False, True):
+            order = {k: [m for _, m in sorted(((s, m) for kk, m, s in z if kk == k), reverse=reverse)] for k in ("k0", "k1")}
+            got = {(r.key, r.member): r.place for r in zsets.zrank(zdf, zdf.where("member % 5 = 0"), reverse).collect()}
+            assert got == {(k, m): i for k, v in order.items() for i, m in enumerate(v) if m % 5 == 0}
+
+
+def test_idle_state_goes_and_late_windows_close(spark):
+    """Four batches: a user who comes back after the idle time begins anew; windows come once the watermark has passed them, and what comes later still is left out."""
+    day = 86_400_000
+    part = lambda rows: spark.createDataFrame([(c, ms, u) for c, ms, u in rows], "channel string, ms long, user_id long").withColumn("ts", F.timestamp_millis("ms"))
+    parts = [part([("a", 1, 1), ("a", 1000, 1), ("b", 2000, 2)]), part([("a", 3 * day, 2), ("b", 3 * day + 5, 3)]), part([("a", 3 * day + 9, 1)]), part([("a", 9 * day, 4), ("b", 1, 9)])]
+    seen = channels.drain(channels.last_seen(channels.file_stream(parts), day), "update").collect()
+    assert sorted((r.user_id, r.seen, r.last_ms) for r in seen if r.user_id != 9) == [(1, 1, 3 * day + 9), (1, 2, 1000), (2, 1, 2000), (2, 2, 3 * day), (3, 1, 3 * day + 5), (4, 1, 9 * day)]
+    windows = channels.drain(channels.windowed(channels.file_stream(parts), "1 day")).collect()
+    assert sorted((r.channel, r.start_ms // day, r.messages) for r in windows) == [("a", 0, 2), ("a", 3, 2), ("b", 0, 1), ("b", 3, 1)]
+
+
+def test_lag_policies(spark):
+    rows = spark.createDataFrame([(f"c{i}", i, str(i)) for i in range(6)], "channel string, ms long, payload string")
+    run = lambda policy: sorted(r.ms for r in channels.drain(channels.file_stream([rows]), lag=channels.checked_lag(policy, 4)).collect())
+    assert run("ignore") == run("log") == list(range(6)) and run("skip") == [2, 3, 4, 5]
+    with pytest.raises(Exception, match="Lagged|messages"):
+        run("error")
+    with pytest.raises(ValueError):
+        channels.checked_lag("other")
+
+
+def test_hashes_of_published_values(spark):
+    rows = spark.createDataFrame([(b"hello",), (b"",), (b"0123456789abcdef0",)], "raw binary")
+    got = [(r.m % 2**64, r.s % 2**64) for r in rows.select(text.murmur3_128("raw").alias("m"), text.siphash("raw").alias("s")).collect()]
+    assert got[0][0] == 0xCBD8A7B341BD9B02 and got[1][0] == 0
+    code = "print(*(hash(x) for x in (b'hello', b'0123456789abcdef0')))"
+    own = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, env={**os.environ, "PYTHONHASHSEED": "0"}).stdout.split()
+    if sys.hash_info.algorithm == "siphash13":
+        assert [got[0][1], got[2][1]] == [int(x) % 2**64 for x in own]
+
+
+def test_csv_export_and_snapshot_callback(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "1"), ("b", 'x,"y"')], "key string, value string")
+    snapshot.export_csv(rows, f"{tmp_path}/csv")
+    assert sorted(tuple(r) for r in spark.read.option("header", True).csv(f"{tmp_path}/csv").collect()) == [("a", "1"), ("b", 'x,"y"')]
+    seen = spark.sparkContext.accumulator(0)
+    snapshot.foreach(rows, lambda part: [seen.add(1) for _ in part])
+    assert seen.value == 2
+    snapshot.save(rows, f"{tmp_path}/s", 7)
+    assert tuple(snapshot.header(spark, f"{tmp_path}/s").first()) == (1, 2, 7)
+
+
+def test_groups_series_and_subscribers_that_exist(spark):
+    none = spark.createDataFrame([("g", "k", 0, 0)], "group string, key string, ms long, seq long")
+    with pytest.raises(ValueError):
+        streams.xgroup_create(none, "k", "g", (0, 0))
+    series = spark.createDataFrame([("k", 1, {"a": "b"})], "key string, retention_ms long, labels map<string,string>")
+    with pytest.raises(Exception, match="already exists"):
+        timeseries.create(series, series).collect()
+    assert timeseries.labelled(series, {"a": "c"}).count() == 0 == timeseries.labelled(series, {"z": "b"}).count()
