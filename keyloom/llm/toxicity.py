@@ -183,7 +183,7 @@ _MARKS = {x: END for x in ".;:!?\n"} | {x: QUOTE for x in '"«»“”'}
 class Lexicon(dict):
     """Symbol and weight of a word; words met last are remembered."""
 
-    def __init__(self, stems: dict[str, float], seeds: dict[str, float], most: int = 300_000):
+    def __init__(self, stems: dict[str, float], seeds: dict[str, float], most: int = 60_000):
         super().__init__()
         self.stems, self.seeds, self.most = stems, seeds, most
 
