@@ -47,7 +47,8 @@ def in_order(docs: DataFrame) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.encode_documents(in_order(docs), queries.vocabulary(), place="place").drop("decoded_sha256").orderBy("place")
+    # Written before it is sorted: the sort reads its rows twice.
+    return common.cut(bpe.encode_documents(in_order(docs), queries.vocabulary(), place="place").drop("decoded_sha256"), "encoded").orderBy("place")
 
 
 STAGES = [("toxicity", drop_toxic), ("near_dedup", drop_near_duplicates), ("secrets", redact_secrets), ("mixing", mix_sources), ("bpe", encode)]
