@@ -8,7 +8,9 @@ those up to some place are full and all others get one level times their weight,
 Within a source, documents stand in the order of md5(doc_id) with a place c (words before them). A target of f
 whole passes and r words takes f times each document and once more the words before r. The source's weight over
 the training time t in [0, 1] is a line from a to b (`SCHEDULES`, by its rank); its integral, scaled to the target, is
-the demand of words up to t, and inverting it at c gives the document's position. Rows are range-sorted by position.
+the source's demand of words up to t, and inverting it at c gives the time at which the document is due. The position is the
+demand of all sources up to that time, as a share of all words taken: equal steps of it are equal shares of training, in
+which the sources' shares add up to 1. Rows are range-sorted by position.
 
 Places are prefix sums in two levels: in buckets of a source (many, so that no source, however large, is one group) and over
 the buckets' totals. Each bucket holds a range of the order.
@@ -54,17 +56,34 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     found = F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "rank", "level"))).over(everything)
     s = s.withColumn("found", found)
     target = F.when(F.col("source_size") == 0, 0.0).otherwise(F.least("most", F.col("weight") * F.col("found.level")))
-    return s.select("source", "source_size", "rank", F.coalesce(target, F.lit(0.0)).alias("target"))
+    s = s.select("source", "source_size", "rank", F.coalesce(target, F.lit(0.0)).alias("target"))
+    # All sources' demand up to t is linear * t + square * t^2 words; summed in the order of ranks, so that reruns agree.
+    whole = everyone.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    a, b = ends(F.col("rank"))
+    share = F.col("target") / F.nullif(F.sum("target").over(whole), F.lit(0.0))
+    s = s.withColumn("_linear", share * a / ((a + b) / 2)).withColumn("_square", share * (b - a) / (a + b))
+    return s.select("source", "source_size", "rank", "target", *(F.coalesce(F.sum(f"_{x}").over(whole), F.lit(0.0)).alias(x) for x in ("linear", "square")))
 
 
-def position(place: Column, target: Column, rank: Column) -> Column:
+def ends(rank: Column) -> tuple[Column, Column]:
+    """The weight of a source at the beginning and the end of training."""
+    return by_rank(tuple(x for x, _ in SCHEDULES), rank), by_rank(tuple(x for _, x in SCHEDULES), rank)
+
+
+def due(place: Column, target: Column, rank: Column) -> Column:
     """The time at which a source's integrated weight schedule has asked for `place` words of `target`."""
-    a, b = by_rank(tuple(x for x, _ in SCHEDULES), rank), by_rank(tuple(x for _, x in SCHEDULES), rank)
+    a, b = ends(rank)
     y = F.when(target > 0, place / target).otherwise(0.0) * (a + b) / 2
     # a t + (b - a) t^2 / 2 = y, in the form that also holds where b = a
     return 2 * y / (a + F.sqrt(F.greatest(a * a + 2 * (b - a) * y, F.lit(0.0))))
 
 
+def position(place: Column) -> Column:
+    """The share of all training words before the time at which a row of placed() is due."""
+    t = due(place, F.col("target"), F.col("rank"))
+    return t * (F.col("linear") + F.col("square") * t)
+
+
 def measured(docs: DataFrame, *keep: Column) -> DataFrame:
     """The kept columns and, under names of our own, each row's source key, size and order."""
     md5 = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
@@ -74,7 +93,7 @@ def measured(docs: DataFrame, *keep: Column) -> DataFrame:
 
 
 def placed(docs: DataFrame, whole_rows: bool) -> DataFrame:
-    """Each row of docs with _size, source_size, rank, target, and place: the words of its source before it.
+    """Each row of docs with _size, source_size, rank, target, linear, square, and place: the words of its source before it.
 
     Its columns are `doc_id`, or `doc`, a struct of the whole row. Texts are measured first, into a narrow table; whole rows
     are then shuffled once, by source and bucket.
@@ -85,7 +104,7 @@ def placed(docs: DataFrame, whole_rows: bool) -> DataFrame:
     most = totals.agg(F.max("n")).first()[0] or 1
     wide = float(2**52 // max(BUCKETS, -(-most // BUCKET_ROWS)) + 1)
     bucket = F.floor(F.col("_order") / F.lit(wide)).cast("int")
-    sources = totals.select(F.when(F.col("_source") != "", F.substring("_source", 2, 1_000_000)).alias("source"), "source_size")
+    sources = totals.select(F.when(F.col("_source") != "", F.expr("substring(_source, 2)")).alias("source"), "source_size")
     targets = source_targets(sources).withColumn("_source", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))).drop("source")
     before = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sized.groupBy("_source", bucket.alias("_bucket")).agg(F.sum("_size").alias("words")).withColumn("start", F.coalesce(F.sum("words").over(before), F.lit(0)))
@@ -108,10 +127,13 @@ def words_taken() -> Column:
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, taken, position (null if nothing is taken), sorted by position."""
+    """doc_id, size, source_size, target, taken, position and last_position (of its first and its last pass; null if nothing is taken),
+    sorted by position."""
     out = placed(docs, False).withColumn("taken", words_taken())
-    out = out.withColumn("position", F.when(F.col("taken") > 0, position(F.col("place"), F.col("target"), F.col("rank"))))
-    return out.select("doc_id", F.col("_size").alias("size"), "source_size", "target", "taken", "position").orderBy(F.col("position").asc_nulls_last(), "doc_id")
+    again = F.when(F.col("taken") > 0, F.ceil(F.col("taken") / F.col("_size")) - 1)
+    at = [F.when(F.col("taken") > 0, position(F.col("place") + n * F.col("source_size"))).alias(name) for name, n in (("position", F.lit(0)), ("last_position", again))]
+    out = out.select("doc_id", F.col("_size").alias("size"), "source_size", "target", "taken", *at)
+    return out.orderBy(F.col("position").asc_nulls_last(), "doc_id")
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:
@@ -122,5 +144,5 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     times = F.when(F.col("_size") > 0, F.floor(words_taken() / F.col("_size") + 0.5)).otherwise(0).cast("int")
     p = placed(docs, True).withColumn("times", times).where("times > 0")
     p = p.select("*", F.explode(F.sequence(F.lit(0), F.col("times") - 1)).alias("pass"))
-    at = position(F.col("place") + F.col("pass") * F.col("source_size"), F.col("target"), F.col("rank"))
+    at = position(F.col("place") + F.col("pass") * F.col("source_size"))
     return p.select(at.alias("at"), "doc").orderBy("at", "doc.doc_id").select("doc.*")

@@ -128,17 +128,22 @@ levels AS (
     (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(most) OVER up, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER up, 0)) AS level
   FROM weighed WINDOW up AS (ORDER BY most / w, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 level AS (SELECT arg_min(level, ratio) AS level FROM levels WHERE level <= ratio),
-targets AS (SELECT l.source, source_size, rank, CASE WHEN source_size = 0 THEN 0.0 ELSE least(most, w * v.level) END AS target FROM levels l, level v),
+targets AS (
+  SELECT l.source, source_size, rank, CASE WHEN source_size = 0 THEN 0.0 ELSE least(most, w * v.level) END AS target,
+    CASE rank % 3 WHEN 0 THEN 1.5 WHEN 1 THEN 1.0 ELSE 0.5 END::DOUBLE AS a, CASE rank % 3 WHEN 0 THEN 0.5 WHEN 1 THEN 1.0 ELSE 1.5 END::DOUBLE AS b
+  FROM levels l, level v),
+demand AS (SELECT sum(target * a / ((a + b) / 2)) / nullif(sum(target), 0) AS linear, sum(target * (b - a) / (a + b)) / nullif(sum(target), 0) AS square FROM targets),
 placed AS (
-  SELECT s.*, source_size, rank, target, floor(target)::BIGINT AS whole,
+  SELECT s.*, source_size, rank, target, a, b, floor(target)::BIGINT AS whole,
     coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY ord, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS place
   FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
 passes AS (SELECT *, CASE WHEN source_size > 0 THEN whole // source_size ELSE 0 END AS passes FROM placed),
 taken AS (SELECT *, (passes * size + least(greatest(whole - passes * source_size - place, 0), size))::BIGINT AS taken FROM passes),
 asked AS (
-  SELECT *, CASE rank % 3 WHEN 0 THEN 1.5 WHEN 1 THEN 1.0 ELSE 0.5 END::DOUBLE AS a, CASE rank % 3 WHEN 0 THEN 0.5 WHEN 1 THEN 1.0 ELSE 1.5 END::DOUBLE AS b,
-    CASE WHEN target > 0 THEN place / target ELSE 0 END AS y FROM taken)
-SELECT doc_id, size, source_size, target, taken,
-  CASE WHEN taken > 0 THEN 2 * (y * (a + b) / 2) / (a + sqrt(greatest(a * a + 2 * (b - a) * (y * (a + b) / 2), 0))) END AS position
-FROM asked""",
+  SELECT *, CASE WHEN target > 0 THEN place / target ELSE 0 END * (a + b) / 2 AS y,
+    CASE WHEN target > 0 THEN (place + (CASE WHEN taken > size THEN 1 ELSE 0 END) * source_size) / target ELSE 0 END * (a + b) / 2 AS y2 FROM taken),
+due AS (SELECT *, 2 * y / (a + sqrt(greatest(a * a + 2 * (b - a) * y, 0))) AS t, 2 * y2 / (a + sqrt(greatest(a * a + 2 * (b - a) * y2, 0))) AS t2 FROM asked)
+SELECT doc_id, size, source_size, target, taken, CASE WHEN taken > 0 THEN t * (linear + square * t) END AS position,
+  CASE WHEN taken > 0 THEN t2 * (linear + square * t2) END AS last_position
+FROM due, demand""",
 }

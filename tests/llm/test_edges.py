@@ -312,6 +312,19 @@ def test_mixing_targets(spark):
     assert all(abs(t - got) <= 1 and t <= 2 * s + 1e-9 for s, (t, got) in per.items())
     assert abs(sum(t for t, _ in per.values()) - 1.5 * sum(r.size for r in out)) < 1e-6
     assert sorted(map(str, mixing.mix(df.repartition(5)).collect())) == sorted(map(str, out))
+    # A position is the share of all training words before it, but for each source's document that is just being read.
+    passes = [(r.position, min(r["size"], r.taken)) for r in out if r.taken] + [(r.last_position, r.taken - r["size"]) for r in out if r.taken > r["size"]]
+    assert all((r.last_position > r.position) == (r.taken > r["size"]) for r in out if r.taken) and all(r.position is None for r in out if not r.taken)
+    total, before = sum(n for _, n in passes), 0
+    for at, n in sorted(passes):
+        assert abs(at * total - before) <= 7 * len(per)
+        before += n
+
+
+def test_mixing_of_long_source_names(spark):
+    name = "s" * 1_000_100
+    out = mixing.mix(spark.createDataFrame([(1, "a b", name), (2, "c", "x")], "doc_id long, text string, source string")).collect()
+    assert {r.doc_id: r["size"] for r in out} == {1: 2, 2: 1}
 
 
 def log(spark, rows):
