@@ -169,8 +169,10 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([measure(t.as_py()) for t in b.column(1)], pa.list_(pa.float64()))], schema=schema)
 
-    got = common.map_rows(labelled_sample(docs, labels, "quality", max_rows), run, "doc_id long, label int, x array<double>").toArrow()
-    rows = sorted(zip(got.column(0).to_pylist(), got.column(2).to_pylist(), got.column(1).to_pylist(), strict=True))[: 2 * max_rows]
+    got = common.map_rows(labelled_sample(docs, labels, "quality", max_rows), run, "doc_id long, label int, x array<double>")
+    # A repeated id counts once, by its largest features, so that at most `max_rows` rows come to the driver.
+    got = got.groupBy("doc_id").agg(F.max(F.struct("label", "x")).alias("m")).select("doc_id", "m.label", "m.x").toArrow()
+    rows = sorted(zip(got.column(0).to_pylist(), got.column(2).to_pylist(), got.column(1).to_pylist(), strict=True))
     x, y = np.array([r[1] for r in rows], float).reshape(-1, len(FEATURES)), np.array([r[2] for r in rows], float)
     return Model().fit(x, y)
 
