@@ -1,7 +1,7 @@
 """Line-first cleaning: rules judge each line, failing lines go, and a document that loses too much goes too.
 
-Every line is judged by itself: navigation (three bars, arrows or bullets and more), boilerplate (stock
-phrases of web pages), shouting (nearly all letters are capitals), symbols (one in ten characters is markup),
+Every line is judged by itself: navigation (three bars, arrows or bullets and more), boilerplate (stock phrases of
+web pages that make up a fifth of the line), shouting (nearly all letters are capitals), symbols (one in ten characters is markup),
 a missing full stop, and being a repeat of an earlier line. What is left is the cleaned text; a document is kept
 if at least `keep_share` of its word characters stay and the document-level rules hold.
 
@@ -11,6 +11,7 @@ judged nor counted as lost; repeated rows are judged each by itself; other colum
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +24,7 @@ SYMBOLS = b"#*$%&|<>"
 STOPS = (".", "!", "?", '"', "'", ")", ":", ";", "…", "”", "。")
 NAVIGATION = ("|", "»", "›", "•")
 BOILERPLATE = ("lorem ipsum", "javascript", "cookie policy", "terms of use", "privacy policy", "sign in to", "log in to", "click here", "subscribe to our", "skip to content")
+STOCK = re.compile("|".join(BOILERPLATE).encode())
 MIN_WORDS, REPEAT_PERCENT, KEEP_SHARE = 50, 50, 0.5
 REASONS = ("navigation", "boilerplate", "shouting", "symbols", "no_stop", "repeat")
 UPPER = np.zeros(256, bool)
@@ -41,8 +43,8 @@ def line_fault(line: str) -> str | None:
     raw = line.encode("utf-8", "replace")
     if sum(map(line.count, NAVIGATION)) >= 3:
         return "navigation"
-    small = raw.lower()
-    if any(x.encode() in small for x in BOILERPLATE):
+    stock = sum(map(len, STOCK.findall(raw.lower())))
+    if stock and 5 * stock >= len(line):
         return "boilerplate"
     upper, lower = count(raw, "upper"), count(raw, "lower")
     if upper + lower >= 20 and 10 * upper > 7 * (upper + lower):

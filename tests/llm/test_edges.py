@@ -300,6 +300,11 @@ def test_secrets_plan_is_native(docs):
         assert not any(x in df._jdf.queryExecution().executedPlan().toString() for x in ("Python", "Arrow", "Pandas"))
 
 
+def test_quality_rules_boilerplate_is_a_share_of_the_line():
+    assert quality_rules.line_fault("Please click here and read our privacy policy.") == "boilerplate"
+    assert quality_rules.line_fault("Of the many languages that were made in those years, JavaScript is the one that most people still read.") is None
+
+
 def test_mixing_targets(spark):
     rows = [(i, " ".join(["w"] * (i % 7 + 1)), "abc"[min(i % 9, 2)]) for i in range(900)] + [(None, "x y", None), (-1, None, "a")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
