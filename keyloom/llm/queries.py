@@ -146,4 +146,54 @@ due AS (SELECT *, 2 * y / (a + sqrt(greatest(a * a + 2 * (b - a) * y, 0))) AS t,
 SELECT doc_id, size, source_size, target, taken, CASE WHEN taken > 0 THEN t * (linear + square * t) END AS position,
   CASE WHEN taken > 0 THEN t2 * (linear + square * t2) END AS last_position
 FROM due, demand""",
+    "op9_quality_rules": rf"""
+WITH docs AS (SELECT doc_id, row_number() OVER () AS row, coalesce(text, '') AS text FROM documents),
+split AS (SELECT row, regexp_extract_all(text, '{_WORDS}') AS w FROM docs),
+triples AS (SELECT row, i, w[i:i + 2] AS t FROM (SELECT row, w, unnest(range(1, len(w) - 1)) AS i FROM split)),
+twice AS (SELECT row, i FROM (SELECT row, i, count(*) OVER (PARTITION BY row, t) AS often FROM triples) WHERE often > 1),
+repeated AS (SELECT row, count(DISTINCT i + j)::BIGINT AS n FROM twice, (SELECT unnest([0, 1, 2]) AS j) GROUP BY row),
+lines AS (
+  SELECT row, line, row_number() OVER (PARTITION BY row, line ORDER BY i) > 1 AS again, translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS small,
+    length(line) AS n, length(regexp_replace(line, '[^A-Z]', '', 'g')) AS upper, length(regexp_replace(line, '[^a-z]', '', 'g')) AS lower
+  FROM (SELECT row, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM docs)
+  WHERE regexp_matches(line, '{_WORDS}')),
+stock AS (
+  SELECT *, n - length(regexp_replace(small, 'lorem ipsum|javascript|cookie policy|terms of use|privacy policy|sign in to|log in to|click here|subscribe to our|skip to content', '', 'g')) AS stock
+  FROM lines),
+judged AS (
+  SELECT row, again, length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g')) AS chars,
+    CASE WHEN length(regexp_replace(line, '[^|»›•]', '', 'g')) >= 3 THEN 'navigation'
+      WHEN stock > 0 AND 5 * stock >= n THEN 'boilerplate'
+      WHEN upper + lower >= 20 AND 10 * upper > 7 * (upper + lower) THEN 'shouting'
+      WHEN 10 * length(regexp_replace(line, '[^#*$%&|<>]', '', 'g')) > n THEN 'symbols'
+      WHEN NOT regexp_matches(line, '[.!?"''):;…”。][\x20\x09\x0B-\x0D]*$') THEN 'no_stop'
+      WHEN again THEN 'repeat' END AS fault
+  FROM stock),
+per AS (
+  SELECT row, count_if(again)::BIGINT AS dup, coalesce(sum(chars) FILTER (fault IS NOT NULL), 0)::BIGINT AS lost,
+    {", ".join(f"count_if(coalesce(fault = '{x}', false))::BIGINT AS lines_{x}" for x in ("navigation", "boilerplate", "shouting", "symbols", "no_stop", "repeat"))}
+  FROM judged GROUP BY row),
+measured AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(dup, 0)::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words, coalesce(lost, 0) AS lost,
+    {", ".join(f"coalesce(lines_{x}, 0)::BIGINT AS lines_{x}" for x in ("navigation", "boilerplate", "shouting", "symbols", "no_stop", "repeat"))}
+  FROM docs JOIN split USING (row) LEFT JOIN per USING (row) LEFT JOIN repeated r USING (row))
+SELECT * EXCLUDE (lost), n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 2 * (word_chars - lost) >= word_chars AS kept
+FROM measured""",
+    "op10_near_dedup": rf"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORDS}'), []) AS w FROM documents),
+sets AS (
+  SELECT doc_id, list_sort(CASE WHEN len(w) >= 4 THEN list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM split),
+classed AS (SELECT doc_id, s, len(s)::BIGINT AS n, CASE WHEN len(s) = 0 THEN doc_id ELSE min(doc_id) OVER (PARTITION BY s) END AS class FROM sets),
+classes AS (SELECT class, n, s FROM classed WHERE doc_id = class),
+members AS (SELECT class, n, unnest(s) AS x FROM classes),
+shared AS (SELECT a.class AS a, b.class AS b, a.n + b.n AS total, count(*) AS c FROM members a JOIN members b ON a.x = b.x AND a.class < b.class AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n) GROUP BY ALL),
+links AS (SELECT a, b FROM shared WHERE 100 * c >= 80 * (total - c)),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT class AS a, class AS b FROM classes UNION SELECT r.a, w.b FROM reach r JOIN ways w ON r.b = w.a),
+least AS (SELECT a AS class, min(b) AS component_id FROM reach GROUP BY a)
+SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM classed JOIN least USING (class)""",
 }
