@@ -103,6 +103,10 @@ QUERIES = {f.__name__: f for f in (op1_toxicity, op2_chat, op3_mixing, op4_bpe,
 _WORDS = r"[^\x20\x09-\x0D]+"
 _WEIGHT = "CASE rank % 3 WHEN 0 THEN 3.0 WHEN 1 THEN 1.0 ELSE 2.0 END"
 
+_SMALL = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_RUNS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_TEMPLATES = ", ".join("('{}', '{}')".format(label, text.replace("'", "''")) for label, texts in licenses.TEMPLATES.items() for text in texts)
+
 ORACLES: dict[str, str] = {
     "op2_chat": r"""
 WITH own AS (SELECT unnest([0, 1]) AS turn),
@@ -146,6 +150,35 @@ due AS (SELECT *, 2 * y / (a + sqrt(greatest(a * a + 2 * (b - a) * y, 0))) AS t,
 SELECT doc_id, size, source_size, target, taken, CASE WHEN taken > 0 THEN t * (linear + square * t) END AS position,
   CASE WHEN taken > 0 THEN t2 * (linear + square * t2) END AS last_position
 FROM due, demand""",
+    "op8_licenses": rf"""
+WITH docs AS (SELECT doc_id, row_number() OVER () AS row, regexp_extract_all(translate(coalesce(text, ''), {_SMALL}), '{_RUNS}') AS w FROM documents),
+words AS (SELECT row, unnest(w) AS x, unnest(range(len(w))) AS p FROM docs),
+places AS (SELECT row, p, x, lead(x) OVER o AS y, lead(x, 2) OVER o AS z FROM words WINDOW o AS (PARTITION BY row ORDER BY p)),
+base AS (
+  SELECT row, p, 'cc-by' AS label FROM places WHERE x = 'cc' AND y = 'by'
+  UNION ALL SELECT row, p, 'gpl' FROM places WHERE x = 'general' AND y = 'public' AND z = 'license'
+  UNION ALL SELECT row, p, 'reserved' FROM places WHERE x = 'all' AND y = 'rights' AND z = 'reserved'),
+templates AS (
+  SELECT id, label, len(w) AS span, list_distinct(w) AS d
+  FROM (SELECT row_number() OVER () AS id, label, regexp_extract_all(translate(text, {_SMALL}), '{_RUNS}') AS w FROM (VALUES {_TEMPLATES}) t(label, text))),
+own AS (
+  SELECT id, span, x, x IN ('apache', 'mit', 'bsd', 'gnu', 'lesser', 'affero', 'mozilla', 'creative', 'cc', 'nc', 'noncommercial', 'sharealike', 'unencumbered') AS mark
+  FROM (SELECT id, span, unnest(d) AS x FROM templates)),
+marked AS (SELECT id, count_if(mark) AS marks FROM own GROUP BY id),
+hits AS (SELECT DISTINCT row, id, p // span - back AS k, x, mark FROM words JOIN own USING (x), (SELECT unnest([0, 1]) AS back) WHERE p // span >= back),
+blocks AS (
+  SELECT row, label, shared / len(d)::DOUBLE AS held, found = marks AS sure
+  FROM (SELECT row, id, k, count(*) AS shared, count_if(mark) AS found FROM hits GROUP BY ALL) JOIN templates USING (id) JOIN marked USING (id)
+  WHERE 5 * shared >= 4 * len(d)),
+found AS (SELECT row, label, true AS base, true AS sure FROM base UNION ALL SELECT row, label, false, sure FROM blocks),
+named AS (
+  SELECT row, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels,
+    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (sure) AS licenses FROM found GROUP BY row),
+based AS (SELECT row, count(*) AS n, min(p) AS first_word, max(p) AS last_word FROM base GROUP BY row),
+held AS (SELECT row, count(*) AS n, max(held) AS held FROM blocks GROUP BY row)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(b.n, 0)::BIGINT AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+  CASE WHEN b.n > 0 THEN 1.0::DOUBLE ELSE coalesce(held, 0) END AS score, coalesce(h.n, 0)::BIGINT AS n_blocks, coalesce(licenses, '') AS licenses
+FROM docs LEFT JOIN based b USING (row) LEFT JOIN held h USING (row) LEFT JOIN named USING (row)""",
     "op9_quality_rules": rf"""
 WITH docs AS (SELECT doc_id, row_number() OVER () AS row, coalesce(text, '') AS text FROM documents),
 split AS (SELECT row, regexp_extract_all(text, '{_WORDS}') AS w FROM docs),
