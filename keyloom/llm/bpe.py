@@ -52,19 +52,30 @@ def byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def parsed(content: str) -> dict:
+    """A tokenizers file without truncation and padding; ValueError if it is not of the kind that Codec knows."""
+    spec = json.loads(content)
+    spec["truncation"] = spec["padding"] = None
+    split = spec.get("pre_tokenizer") or {}
+    if spec.get("normalizer") or split.get("type") != "ByteLevel" or not split.get("use_regex") or split.get("add_prefix_space"):
+        raise ValueError("not a byte-level vocabulary with the usual pre-tokenizer")
+    return spec
+
+
+def special_strings(spec: dict) -> list[str]:
+    """The strings of special tokens, longest first."""
+    return sorted((t["content"] for t in spec.get("added_tokens", [])), key=len, reverse=True)
+
+
 class Codec:
     """A byte-level BPE vocabulary from a tokenizers file."""
 
     def __init__(self, content: str):
-        spec = json.loads(content)
-        spec["truncation"] = spec["padding"] = None
+        spec = parsed(content)
         self.tokenizer = Tokenizer.from_str(json.dumps(spec))
-        split = spec.get("pre_tokenizer") or {}
-        if spec.get("normalizer") or split.get("type") != "ByteLevel" or not split.get("use_regex") or split.get("add_prefix_space"):
-            raise ValueError("not a byte-level vocabulary with the usual pre-tokenizer")
         # The model alone: what becomes of a run of bytes, written as their stand-ins.
         self.run_tokenizer = Tokenizer.from_str(json.dumps(spec | {"added_tokens": [], "pre_tokenizer": None, "post_processor": None}))
-        self.special = sorted((t["content"] for t in spec.get("added_tokens", [])), key=len, reverse=True)
+        self.special = special_strings(spec)
         size, to_byte = self.tokenizer.get_vocab_size(with_added_tokens=True), byte_of_char()
         self.bytes: list[bytes] = [b""] * size
         for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
@@ -268,9 +279,11 @@ def encode_documents(docs: DataFrame, vocabulary: str, leaf_chars: int = LEAF_CH
     """
     schema = pa.schema(list(DIGEST)[: 6 if with_ids else 5])
     columns = "doc_id long, place long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    c = codec(vocabulary)
-    content = docs.sparkSession.sparkContext.broadcast(open(vocabulary, encoding="utf-8").read())
-    special, width = c.special, len(schema)
+    with open(vocabulary, encoding="utf-8") as f:
+        text = f.read()
+    # The driver checks the file but builds no codec, which would take some 60 MB of it for good.
+    special, width = special_strings(parsed(text)), len(schema)
+    content = docs.sparkSession.sparkContext.broadcast(text)
 
     def rows(found: list[tuple]) -> pa.RecordBatch:
         return common.batch(schema, list(zip(*(r[:width] for r in found), strict=True)) if found else [[] for _ in schema])

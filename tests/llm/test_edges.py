@@ -1,6 +1,7 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing column names, for each operator and stage."""
 
 import hashlib
+import json
 import math
 import re
 
@@ -170,6 +171,20 @@ def test_bpe_of_long_rows(spark, whole):
     assert got == sorted(want)
 
 
+def test_bpe_builds_no_codec_in_the_driver(spark, tmp_path, monkeypatch):
+    built = {}
+    monkeypatch.setattr(bpe, "_CODECS", built)
+    docs = spark.createDataFrame([(1, "a b"), (2, "c" * 200)], "doc_id long, text string")
+    assert bpe.encode_documents(docs, queries.vocabulary(), leaf_chars=64).count() == 2
+    assert not built
+    with open(queries.vocabulary(), encoding="utf-8") as f:
+        spec = json.load(f)
+    other = tmp_path / "other.json"
+    other.write_text(json.dumps(spec | {"pre_tokenizer": None}), encoding="utf-8")
+    with pytest.raises(ValueError):
+        bpe.encode_documents(docs, str(other))
+
+
 def test_bpe_of_another_kind_of_vocabulary():
     with pytest.raises(ValueError):
         bpe.Codec('{"pre_tokenizer": {"type": "Whitespace"}, "model": {"type": "BPE", "vocab": {}, "merges": []}}')
